@@ -93,8 +93,10 @@ def churn_factors() -> Column:
             ),
             F.when(
                 _or_zero("MonthlyCharges") > HIGH_CHARGE,
+                # ``rint`` settles half cents to the even cent before formatting.
                 F.format_string(
-                    "High monthly charges ($%.2f)", F.col("MonthlyCharges").cast("double")
+                    "High monthly charges ($%.2f)",
+                    F.rint(F.col("MonthlyCharges").cast("double") * 100) / 100,
                 ),
             ),
         )
