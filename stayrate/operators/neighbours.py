@@ -88,25 +88,29 @@ def _candidates(
         return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
 
     types = {f.name: f.dataType.simpleString() for f in data.schema}
+    unit = ("cell", "visit_block", "data_block")
     none = [F.lit(None).cast(types[c]).alias(c) for c in payload]
     sides = [
         visits.join(visit_blocks, "cell")
         .join(data_blocks, "cell")
         .withColumn("visit_block", own("visit_blocks"))
         .withColumn("data_block", every("data_blocks"))
-        .select("cell", "visit_block", "data_block", F.lit(True).alias("asks"), "vid", "vec", *none),
+        .select(*unit, F.lit(True).alias("asks"), "vid", "vec", *none),
         data.join(visit_blocks, "cell")
         .join(data_blocks, "cell")
         .withColumn("data_block", own("data_blocks"))
         .withColumn("visit_block", every("visit_blocks"))
-        .select("cell", "visit_block", "data_block", F.lit(False).alias("asks"), "vid", "vec", *payload),
+        .select(*unit, F.lit(False).alias("asks"), "vid", "vec", *payload),
     ]
 
+    columns_out = ["vid", "distance", "other", "other_vec"]
+    columns_out += [f"other_{c}" for c in payload]
+
     def search(group: pd.DataFrame) -> pd.DataFrame:
         asks = group["asks"].to_numpy(dtype=bool)
         queries, stored = group[asks], group[~asks]
         if not len(queries) or not len(stored):
-            return pd.DataFrame({"vid": [], "distance": [], "other": [], "other_vec": []} | {f"other_{c}": [] for c in payload})
+            return pd.DataFrame({c: [] for c in columns_out})
         stored = stored.sort_values("vid")
         q_vid, s_vid = queries["vid"].to_numpy(), stored["vid"].to_numpy()
         # Rounding lets equal distances tie, to be settled by ``vid``.
@@ -139,7 +143,7 @@ def _candidates(
     return (
         sides[0]
         .unionByName(sides[1])
-        .groupBy("cell", "visit_block", "data_block")
+        .groupBy(*unit)
         .applyInPandas(search, schema)
         .select("vid", found.alias("found"))
     )

@@ -22,7 +22,6 @@ from stayrate.operators.resampling import (
     _up_to,
     class_counts,
     extra_rows,
-    hash_place,
 )
 from stayrate.operators.skew import lookup_join
 from stayrate.schema import KEY
@@ -43,7 +42,9 @@ def _vectors(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _with_quota(rows: DataFrame, n_minor: int, extra: int, minor: int, seed: int) -> DataFrame:
+def _with_quota(
+    rows: DataFrame, n_minor: int, extra: int, minor: int, seed: int
+) -> DataFrame:
     """Minority rows with how many synthetic rows each starts."""
     whole, rest = divmod(extra, n_minor)
     cutoffs = _cutoffs(rows, "key", seed, "label", [minor], lambda c, n: [rest])
@@ -74,8 +75,10 @@ def _draws(points: DataFrame) -> DataFrame:
     """
     points = points.where("quota > 0")
     top = points.agg(F.max("quota")).first()[0] or 0
-    first = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("quota") - 1, F.lit(CHUNK).cast("bigint")))
-    chunks = points.withColumn("first", first)
+    zero, chunk = F.lit(0).cast("bigint"), F.lit(CHUNK).cast("bigint")
+    chunks = points.withColumn(
+        "first", F.explode(F.sequence(zero, F.col("quota") - 1, chunk))
+    )
     if top > CHUNK:
         chunks = chunks.repartition("vid", "first")
     last = F.least(F.col("first") + CHUNK, F.col("quota")) - 1
@@ -83,7 +86,7 @@ def _draws(points: DataFrame) -> DataFrame:
 
 
 def _hash_unit(name: str, seed: int) -> Column:
-    text = F.concat_ws("|", F.col("vid"), F.col("draw").cast("string"), F.lit(name), F.lit(str(seed)))
+    text = F.concat_ws("|", "vid", F.col("draw").cast("string"), F.lit(f"{name}|{seed}"))
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
@@ -109,6 +112,12 @@ def _interpolated(points: DataFrame, neighbours: DataFrame, k: int, seed: int) -
     )
 
 
+def _keep(df: DataFrame, key: str) -> DataFrame:
+    return df.select(
+        F.col(key).cast("string").alias(key), "features", F.col("label").cast("int")
+    )
+
+
 def _with_synthetic(df: DataFrame, synthetic: DataFrame, label: int, key: str) -> DataFrame:
     """Original rows and the synthetic ones, as ``(key, features, label)``."""
     made = synthetic.select(
@@ -116,12 +125,7 @@ def _with_synthetic(df: DataFrame, synthetic: DataFrame, label: int, key: str) -
         array_to_vector("vec").alias("features"),
         F.lit(label).cast("int").alias("label"),
     )
-    kept = df.select(F.col(key).cast("string").alias(key), "features", F.col("label").cast("int"))
-    return kept.unionByName(made)
-
-
-def _keep(df: DataFrame, key: str) -> DataFrame:
-    return df.select(F.col(key).cast("string").alias(key), "features", F.col("label").cast("int"))
+    return _keep(df, key).unionByName(made)
 
 
 def smote(
@@ -244,7 +248,7 @@ def smoten(
         "neighbours",
         F.transform(
             "neighbours",
-            lambda x: F.struct(x["distance"], x["vid"].alias("vid"), x["source"].alias("vec"), x["n"].alias("n")),
+            lambda x: F.struct(x["source"].alias("vec"), x["n"].alias("n")),
         ),
     )
 
@@ -355,7 +359,8 @@ def _block_centres(rows: DataFrame, n: int, wanted: int, seed: int) -> DataFrame
         if not first["k"]:
             return pd.DataFrame({"vid": [], "draw": [], "vec": []})
         x = np.stack([np.asarray(v, dtype=float) for v in group.sort_values("vid")["vec"]])
-        found = _local_centres(x, int(first["k"]), seed + int(first["cell"]) * 7919 + int(first["block"]))
+        place = seed + int(first["cell"]) * 7919 + int(first["block"])
+        found = _local_centres(x, int(first["k"]), place)
         return pd.DataFrame(
             {
                 "vid": f"{first['cell']}_{first['block']}",
@@ -371,5 +376,3 @@ def _block_centres(rows: DataFrame, n: int, wanted: int, seed: int) -> DataFrame
         .applyInPandas(centres, "vid string, draw int, vec array<double>")
     )
 
-
-__all__ = ["adasyn", "cluster_centroids", "hash_place", "smote", "smoten"]

@@ -27,6 +27,7 @@ from stayrate.plans.oracle_views import (
     band,
 )
 from stayrate.plans.registry import Query, rounds
+from stayrate.schema import DERIVED, NUMERIC
 from stayrate.session import shared_dir
 from stayrate.sources import files
 from stayrate.sources.accounts import load_accounts
@@ -191,7 +192,9 @@ def _with_gaps(spark, sf_dir):
 def _assemble(spark, sf_dir):
     df = featured(spark, sf_dir)
     out = preparation.fit_preparation(df).transform(df)
-    return out.select(KEYED, vector_to_array("features").alias("features"))
+    names = preparation.feature_names(out)
+    slots = out.select(KEYED, vector_to_array("features").alias("slots"))
+    return slots.select(KEYED, *[F.col("slots")[i].alias(c) for i, c in enumerate(names)])
 
 
 def _sorted_segments(spark, sf_dir):
@@ -245,6 +248,25 @@ def _shifted(spark, sf_dir):
 
 # --- SQL ------------------------------------------------------------------
 
+_NUMERIC = (*NUMERIC, *DERIVED)
+# The levels each encoded column has in the given tables.
+_LEVELS = {
+    "gender": ("Female", "Male"),
+    "SeniorCitizen": ("0", "1"),
+    "Partner": ("No", "Yes"),
+    "Dependents": ("No", "Yes"),
+    "PhoneService": ("No", "Yes"),
+    "MultipleLines": ("No", "No phone service", "Yes"),
+    "Contract": ("Month-to-month", "One year", "Two year"),
+    "PaperlessBilling": ("No", "Yes"),
+    "PaymentMethod": (
+        "Bank transfer (automatic)",
+        "Credit card (automatic)",
+        "Electronic check",
+        "Mailed check",
+    ),
+}
+
 _PLACE = "substr(md5(concat(customerID, '{seed}')), 1, 13)"
 _ORDERED = f"""{CLEANED}, placed AS (
     SELECT customerID, Churn, {_PLACE.format(seed=42)} AS h,
@@ -261,7 +283,7 @@ _QUOTAS = """, wanted AS (
     quotas AS (SELECT Churn, base + CASE WHEN row_number() OVER (ORDER BY part DESC, Churn)
                    <= w - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM wanted)"""
 
-_OUTCOME = f"""customerID AS customer_id,
+OUTCOME = f"""customerID AS customer_id,
     CASE WHEN churn_probability > 0.5 THEN 'Yes' ELSE 'No' END AS churn_prediction,
     churn_probability, {band('churn_probability')} AS risk_level,
     greatest(churn_probability, 1 - churn_probability) AS confidence"""
@@ -403,12 +425,12 @@ QUERIES: dict[str, Query] = {
     ),
     "score_csv": Query(
         _score_csv,
-        f"{SCORED} SELECT {_OUTCOME} FROM scored",
+        f"{SCORED} SELECT {OUTCOME} FROM scored",
         rounds(6, "churn_probability", "confidence"),
     ),
     "save_predictions": Query(
         _save_predictions,
-        f"{SCORED} SELECT {_OUTCOME} FROM scored",
+        f"{SCORED} SELECT {OUTCOME} FROM scored",
         rounds(6, "churn_probability", "confidence"),
     ),
     "latest_prediction": Query(
@@ -462,7 +484,15 @@ QUERIES: dict[str, Query] = {
         )
         + " FROM cleaned",
     ),
-    "assemble": Query(_assemble),
+    "assemble": Query(
+        _assemble,
+        f"""{FEATURED} SELECT customerID, {', '.join(
+            f'({c} - (SELECT avg({c}) FROM featured)) / (SELECT stddev_pop({c}) FROM featured)'
+            f' AS num__{c}' for c in _NUMERIC)}, {', '.join(
+            f"""CAST({c} = '{v}' AS DOUBLE) AS "cat__{c}_{v}" """
+            for c, values in _LEVELS.items() for v in values)} FROM featured""",
+        rounds(6, *[f"num__{c}" for c in _NUMERIC]),
+    ),
     # resampling
     "stratified_split": Query(
         lambda s, d: resampling.mark_test(cleaned(s, d)).select(KEYED, "Churn", "is_test"),
@@ -503,14 +533,14 @@ QUERIES: dict[str, Query] = {
     ),
     "score_batch": Query(
         lambda s, d: scoring.score_batch(load_accounts(s, d), scorecard),
-        f"{SCORED} SELECT {_OUTCOME} FROM scored",
+        f"{SCORED} SELECT {OUTCOME} FROM scored",
         rounds(6, "churn_probability", "confidence"),
     ),
     "score_stored": Query(
         lambda s, d: scoring.score_stored(
             load_accounts(s, d), _events(s, d).select("user_id"), scorecard
         ),
-        f"""{SCORED} SELECT {_OUTCOME} FROM scored
+        f"""{SCORED} SELECT {OUTCOME} FROM scored
             WHERE customerID IN (SELECT CAST(user_id AS VARCHAR) FROM events)""",
         rounds(6, "churn_probability", "confidence"),
     ),
@@ -541,7 +571,7 @@ QUERIES: dict[str, Query] = {
                 for c in ("important_factors", "recommendations")
             }
         ),
-        f"""{_RAW} SELECT {_OUTCOME}, concat_ws('; ', {_FACTORS_SQL}) AS important_factors,
+        f"""{_RAW} SELECT {OUTCOME}, concat_ws('; ', {_FACTORS_SQL}) AS important_factors,
             {_ACTIONS_SQL} AS recommendations FROM full_rows""",
         rounds(6, "churn_probability", "confidence"),
     ),
