@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _TINY = 1e-300
 
@@ -69,11 +70,11 @@ def chi_square_tail(x: float, dof: float) -> float:
     return tail
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p_value(t: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([t_tail(a, b) for a, b in zip(t, dof)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_p_value(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([chi_square_tail(a, b) for a, b in zip(x, dof)])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stayrate.functions.cleaning import is_yes
 from stayrate.operators.order_stats import GATHER_LIMIT, quantiles
+from stayrate.operators.skew import bounded
 from stayrate.schema import LABEL
 
 WHISKER = 1.5
@@ -33,13 +34,13 @@ def _edges(low: str, high: str) -> tuple[Column, Column]:
 def _histogram(rows: DataFrame, ranges: DataFrame, by: str, bins: int) -> DataFrame:
     """Counts per group and bin for rows ``(by, x)`` and ranges ``(by, low, high)``.
 
-    ``ranges`` has one row per group, so it travels to the rows. Empty bins are
+    ``ranges`` has one row per group and travels to the rows. Empty bins are
     listed with 0.
     """
     low, high = _edges("low", "high")
-    ranges = ranges.select(by, low.alias("low"), high.alias("high"))
+    ranges = bounded(ranges.select(by, low.alias("low"), high.alias("high")))
     counted = (
-        rows.join(F.broadcast(ranges), by)
+        rows.join(ranges, by)
         .groupBy(by, _bin(F.col("x"), F.col("low"), F.col("high"), bins).alias("bin"))
         .agg(F.count("*").alias("n"))
     )
@@ -98,8 +99,8 @@ def histogram_density(
 ) -> DataFrame:
     """Histogram per group scaled to unit area."""
     counts = histogram_by_class(df, column, by, bins)
-    totals = _values(df, column, by).groupBy(by).agg(F.count("*").alias("total"))
-    return counts.join(F.broadcast(totals), by).select(
+    totals = counts.groupBy(by).agg(F.sum("n").alias("total"))
+    return counts.join(totals, by).select(
         by,
         "bin",
         "bin_start",
@@ -117,20 +118,21 @@ def kde(df: DataFrame, column: str, by: str, points: int = 200) -> DataFrame:
     the partial aggregation, so only grid-sized sums are shuffled.
     """
     rows = _values(df, column, by)
-    shape = (
+    bandwidth = F.stddev_samp("x") * F.pow(F.count("*").cast("double"), F.lit(-0.2))
+    shape = bounded(
         rows.groupBy(by)
         .agg(
             F.count("*").alias("total"),
             F.min("x").alias("low"),
             F.max("x").alias("high"),
-            (F.stddev_samp("x") * F.pow(F.count("*").cast("double"), F.lit(-0.2))).alias("h"),
+            bandwidth.alias("h"),
         )
         .where("h > 0")
     )
     grid_x = F.col("low") + F.col("point") * (F.col("high") - F.col("low")) / (points - 1)
     distance = (grid_x - F.col("x")) / F.col("h")
     return (
-        rows.join(F.broadcast(shape), by)
+        rows.join(shape, by)
         .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .groupBy(by, "point")
         .agg(

@@ -20,20 +20,31 @@ from pyspark.sql import functions as F
 from stayrate.session import settle
 
 BLOCK = 2_000
-MAX_PIVOTS = 1_024
+#: Pivots sit in every task, as one matrix.
+MAX_PIVOTS = 16_384
 POINTS_PER_CELL = 1_000
-_TILE = 64
+#: Numbers a task holds at once while it compares vectors.
+_WORKSPACE = 4_000_000
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances, from differences so that equal vectors give 0."""
     out = np.empty((len(a), len(b)))
-    for i in range(0, len(a), _TILE):
-        gap = a[i : i + _TILE, None, :] - b[None, :, :]
-        out[i : i + _TILE] = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
+    tile = max(1, _WORKSPACE // max(b.size, 1))
+    for i in range(0, len(a), tile):
+        gap = a[i : i + tile, None, :] - b[None, :, :]
+        out[i : i + tile] = np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
     return out
 
 
+def _slices(batches: Iterator[pd.DataFrame], columns: int) -> Iterator[pd.DataFrame]:
+    """Batches cut so that rows times ``columns`` fits the workspace."""
+    size = max(1, _WORKSPACE // columns)
+    for batch in batches:
+        for i in range(0, len(batch), size):
+            yield batch.iloc[i : i + size]
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=float) for v in column])
 
@@ -49,13 +60,10 @@ def assign_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Add ``cell``, the nearest pivot, and ``reach``, the distance to it."""
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                d = _distances(_matrix(batch["vec"]), pivots)
-                cell = d.argmin(axis=1)
-                yield batch.assign(
-                    cell=cell.astype("int32"), reach=d[np.arange(len(d)), cell]
-                )
+        for batch in _slices(batches, len(pivots)):
+            d = _distances(_matrix(batch["vec"]), pivots)
+            cell = d.argmin(axis=1)
+            yield batch.assign(cell=cell.astype("int32"), reach=d[np.arange(len(d)), cell])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
     return points.mapInPandas(assign, f"{fields}, cell int, reach double")
@@ -185,16 +193,14 @@ def nearest(
     }
     cells = np.array(sorted(widths))
     width = np.array([widths[c] for c in cells])
-    between = _distances(pivots, pivots)
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in _slices(batches, len(pivots)):
             own = batch["cell"].to_numpy()
-            to_cell = _distances(_matrix(batch["vec"]), pivots)[:, cells]
+            to_cell = _distances(_matrix(batch["vec"]), pivots[cells])
             home = batch["reach"].to_numpy()[:, None]
-            gap = between[own][:, cells]
+            homes, place = np.unique(own, return_inverse=True)
+            gap = _distances(pivots[homes], pivots[cells])[place]
             with np.errstate(divide="ignore", invalid="ignore"):
                 half_plane = (to_cell**2 - home**2) / (2 * gap)
             half_plane = np.where(gap > 0, half_plane, 0.0)

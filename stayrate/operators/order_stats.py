@@ -27,8 +27,8 @@ class _Bracket:
 
     column: str
     rank: int
-    low: float = -math.inf
-    high: float = math.inf
+    low: float | None = None
+    high: float | None = None
     below: int = 0  # values <= low
     inside: int = 0  # values strictly between
     value: float | None = None
@@ -37,9 +37,9 @@ class _Bracket:
 def _inside(b: _Bracket) -> Column:
     c = F.col(b.column)
     bounds = F.lit(True)
-    if b.low != -math.inf:
+    if b.low is not None:
         bounds = bounds & (c > b.low)
-    if b.high != math.inf:
+    if b.high is not None:
         bounds = bounds & (c < b.high)
     return F.when(bounds & c.isNotNull(), c)
 

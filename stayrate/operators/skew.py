@@ -1,4 +1,4 @@
-"""Equi-join of rows with per-value facts when some values are very frequent."""
+"""Joins that keep frequent values out of single tasks."""
 
 from __future__ import annotations
 
@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 #: A value holding at least this share of the rows is frequent; at most
 #: ``1 / HOT_SHARE`` values can be.
 HOT_SHARE = 1e-3
+#: Groups whose facts may be gathered on the driver and sent to every task.
+MAX_GROUPS = 10_000
+
+
+def bounded(facts: DataFrame, limit: int = MAX_GROUPS) -> DataFrame:
+    """``facts`` gathered and marked for broadcast; an error above ``limit`` rows.
+
+    Meant for one row per group, so that the groups' rows, which may be a large
+    part of the table, stay where they are.
+    """
+    rows = facts.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} groups")
+    return F.broadcast(facts.sparkSession.createDataFrame(rows, facts.schema))
 
 
 def lookup_join(

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from stayrate.schema import KEY, STAMPS, require_columns
 from stayrate.sources.files import write_csv
 
+#: Keys that may be sent to every task.
+FEW_KEYS = 1_000_000
+
 
 def lookup_account(df: DataFrame, value: str, key: str = KEY) -> DataFrame:
     """The row with this key; no row if there is none."""
@@ -47,13 +50,24 @@ def _first_per_key(incoming: DataFrame, order: str, key: str) -> DataFrame:
 
 
 def new_accounts(
-    incoming: DataFrame, table: DataFrame | None, order: str, key: str = KEY
+    incoming: DataFrame,
+    table: DataFrame | None,
+    order: str,
+    key: str = KEY,
+    incoming_rows: int | None = None,
 ) -> DataFrame:
-    """Incoming rows that may be inserted: first of their key, and not stored yet."""
+    """Incoming rows that may be inserted: first of their key, and not stored yet.
+
+    With ``incoming_rows`` known to be few, their keys go to the stored table,
+    which is then read but not shuffled.
+    """
     first = _first_per_key(incoming, order, key)
-    if table is not None:
-        first = first.join(table.select(key), key, "left_anti")
-    return first
+    if table is None:
+        return first
+    stored = table.select(key)
+    if incoming_rows is not None and incoming_rows <= FEW_KEYS:
+        stored = stored.join(F.broadcast(first.select(key)), key, "left_semi")
+    return first.join(stored, key, "left_anti")
 
 
 def ingest_accounts(
@@ -72,18 +86,22 @@ def ingest_accounts(
             raise
         table = None
     before = table.count() if table is not None else 0
-    with_stamps(new_accounts(incoming, table, order, key)).write.mode("append").parquet(path)
+    total = incoming.count()
+    fresh = with_stamps(new_accounts(incoming, table, order, key, total))
+    fresh.write.mode("append").parquet(path)
     inserted = spark.read.parquet(path).count() - before
-    return inserted, incoming.count() - inserted
+    return inserted, total - inserted
 
 
 def ingest_counts(
     incoming: DataFrame, table: DataFrame | None, order: str, key: str = KEY
 ) -> DataFrame:
     """The counts ``ingest_accounts`` would report, as one row."""
-    inserted = new_accounts(incoming, table, order, key).agg(F.count("*").alias("inserted"))
+    fresh = new_accounts(incoming, table, order, key)
     total = incoming.agg(F.count("*")).scalar()
-    return inserted.select("inserted", (total - F.col("inserted")).alias("failed"))
+    return fresh.agg(F.count("*").alias("inserted")).withColumn(
+        "failed", total - F.col("inserted")
+    )
 
 
 def update_accounts(

@@ -2,21 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayrate.schema import ACCOUNT_COLUMNS, ADDONS
+from stayrate.schema import ACCOUNT_COLUMNS
 
-# The order attribute whose parity decides each add-on.
-_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+CUSTOMER_SCHEMA = "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string"
+ORDERS_SCHEMA = (
+    "o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string"
+)
 
+# The order attribute whose odd count means an add-on is taken.
+_ADDON_RULES = {
+    "OnlineSecurity": "o_orderpriority = '1-URGENT'",
+    "OnlineBackup": "o_orderpriority = '2-HIGH'",
+    "DeviceProtection": "o_orderpriority = '3-MEDIUM'",
+    "TechSupport": "o_orderpriority = '4-NOT SPECIFIED'",
+    "StreamingTV": "o_orderpriority = '5-LOW'",
+    "StreamingMovies": "o_orderstatus = 'P'",
+}
 
-def _yes_no(condition: Column) -> Column:
-    return F.when(condition, "Yes").otherwise("No")
+_HISTORY = {
+    "first_order": "min(o_orderdate)",
+    "last_order": "max(o_orderdate)",
+    "n": "count(*)",
+    "t": "sum(cast(o_totalprice as decimal(12,2)))",
+    **{addon: f"count_if({rule}) % 2 = 1" for addon, rule in _ADDON_RULES.items()},
+}
 
+_TENURE = (
+    "(year(dmax) * 12 + month(dmax) - year(first_order) * 12 - month(first_order) "
+    "+ c_custkey) % 75"
+)
 
-def _month_number(ts) -> Column:
-    return F.year(ts) * 12 + F.month(ts)
+_COLUMNS = {
+    "customerID": "cast(c_custkey as string)",
+    "gender": "if(c_custkey % 2 = 0, 'Male', 'Female')",
+    "SeniorCitizen": "if(c_custkey % 6 = 0, 1, 0)",
+    "Partner": "if(c_nationkey % 2 = 0, 'Yes', 'No')",
+    "Dependents": "if(c_custkey % 3 = 0, 'Yes', 'No')",
+    "tenure": "tenure",
+    "PhoneService": "if(c_nationkey % 10 = 0, 'No', 'Yes')",
+    "MultipleLines": "case when c_nationkey % 10 = 0 then 'No phone service' "
+    "when c_nationkey % 3 = 0 then 'Yes' else 'No' end",
+    "InternetService": "case n % 3 when 0 then 'No' when 1 then 'DSL' else 'Fiber optic' end",
+    **{
+        addon: f"case when n % 3 = 0 then 'No internet service' "
+        f"when {addon} then 'Yes' else 'No' end"
+        for addon in _ADDON_RULES
+    },
+    "Contract": "case c_mktsegment when 'FURNITURE' then 'One year' "
+    "when 'HOUSEHOLD' then 'Two year' else 'Month-to-month' end",
+    "PaperlessBilling": "if(c_acctbal > 4000, 'Yes', 'No')",
+    "PaymentMethod": "case c_custkey % 4 when 0 then 'Electronic check' "
+    "when 1 then 'Mailed check' when 2 then 'Bank transfer (automatic)' "
+    "else 'Credit card (automatic)' end",
+    "MonthlyCharges": "cast(t as double) / (1000 * greatest(tenure, 1))",
+    "TotalCharges": "if(c_custkey % 40 = 0, ' ', cast(t as string))",
+    "Churn": "if(last_order < dmax - interval 180 day, 'Yes', 'No')",
+}
 
 
 def accounts_from_orders(customer: DataFrame, orders: DataFrame) -> DataFrame:
@@ -25,67 +70,21 @@ def accounts_from_orders(customer: DataFrame, orders: DataFrame) -> DataFrame:
     Orders are reduced per customer before the join, so the join meets at most
     one row per key on either side. Aggregates nobody asks for are pruned.
     """
-    flags = dict(zip(ADDONS, _PRIORITIES))
-    odd = {
-        addon: (F.sum((F.col("o_orderpriority") == p).cast("int")) % 2 == 1)
-        for addon, p in flags.items()
-    }
-    odd["StreamingMovies"] = F.sum((F.col("o_orderstatus") == "P").cast("int")) % 2 == 1
     history = orders.groupBy("o_custkey").agg(
-        F.min("o_orderdate").alias("first_order"),
-        F.max("o_orderdate").alias("last_order"),
-        F.count("*").alias("n"),
-        F.sum(F.col("o_totalprice").cast("decimal(12,2)")).alias("t"),
-        *[condition.alias(addon) for addon, condition in odd.items()],
+        *[F.expr(f"{rule} as {name}") for name, rule in _HISTORY.items()]
     )
-    dmax = orders.agg(F.max("o_orderdate")).scalar()
-
-    key = F.col("c_custkey")
-    nation = F.col("c_nationkey")
-    offline = F.col("n") % 3 == 0
-    months = _month_number(F.col("dmax")) - _month_number(F.col("first_order"))
-    joined = (
-        customer.join(history, key == F.col("o_custkey"))
-        .withColumn("dmax", dmax)
-        .withColumn("tenure", (months + key) % 75)
+    latest = orders.selectExpr("max(o_orderdate)").scalar()
+    return (
+        customer.join(history, F.expr("c_custkey = o_custkey"))
+        .withColumn("dmax", latest)
+        .selectExpr("*", f"{_TENURE} as tenure")
+        .selectExpr(*[f"{_COLUMNS[c]} as {c}" for c in ACCOUNT_COLUMNS])
     )
-    derived = {
-        "customerID": key.cast("string"),
-        "gender": F.when(key % 2 == 0, "Male").otherwise("Female"),
-        "SeniorCitizen": (key % 6 == 0).cast("int"),
-        "Partner": _yes_no(nation % 2 == 0),
-        "Dependents": _yes_no(key % 3 == 0),
-        "tenure": F.col("tenure"),
-        "PhoneService": F.when(nation % 10 == 0, "No").otherwise("Yes"),
-        "MultipleLines": F.when(nation % 10 == 0, "No phone service").otherwise(
-            _yes_no(nation % 3 == 0)
-        ),
-        "InternetService": F.when(offline, "No")
-        .when(F.col("n") % 3 == 1, "DSL")
-        .otherwise("Fiber optic"),
-        **{
-            addon: F.when(offline, "No internet service").otherwise(_yes_no(F.col(addon)))
-            for addon in ADDONS
-        },
-        "Contract": F.when(F.col("c_mktsegment") == "FURNITURE", "One year")
-        .when(F.col("c_mktsegment") == "HOUSEHOLD", "Two year")
-        .otherwise("Month-to-month"),
-        "PaperlessBilling": _yes_no(F.col("c_acctbal") > 4000),
-        "PaymentMethod": F.when(key % 4 == 0, "Electronic check")
-        .when(key % 4 == 1, "Mailed check")
-        .when(key % 4 == 2, "Bank transfer (automatic)")
-        .otherwise("Credit card (automatic)"),
-        "MonthlyCharges": F.col("t").cast("double")
-        / (1000 * F.greatest(F.col("tenure"), F.lit(1))),
-        "TotalCharges": F.when(key % 40 == 0, " ").otherwise(F.col("t").cast("string")),
-        "Churn": _yes_no(F.col("last_order") < F.col("dmax") - F.expr("interval 180 day")),
-    }
-    return joined.select(*[derived[c].alias(c) for c in ACCOUNT_COLUMNS])
 
 
 def load_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Account view over the ``customer`` and ``orders`` Parquet tables."""
     return accounts_from_orders(
-        spark.read.parquet(f"{sf_dir}/customer.parquet"),
-        spark.read.parquet(f"{sf_dir}/orders.parquet"),
+        spark.read.schema(CUSTOMER_SCHEMA).parquet(f"{sf_dir}/customer.parquet"),
+        spark.read.schema(ORDERS_SCHEMA).parquet(f"{sf_dir}/orders.parquet"),
     )

@@ -70,9 +70,9 @@ def stream_ingest(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         stored = stored_before(batch.sparkSession, path, batch_id)
-        with_stamps(new_accounts(batch, stored, order)).write.mode("overwrite").parquet(
-            _batch_path(path, batch_id)
-        )
+        rows = None if stored is None else batch.count()
+        fresh = new_accounts(batch, stored, order, incoming_rows=rows)
+        with_stamps(fresh).write.mode("overwrite").parquet(_batch_path(path, batch_id))
 
     return (
         arriving.writeStream.foreachBatch(write)
