@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.functions.significance import chi_square_p_value, t_p_value
@@ -23,6 +23,17 @@ CORRELATED = (
 )
 
 
+def _pearson(a: str, b: str) -> Column:
+    """Correlation, NULL for a constant; ``corr`` fails on one under ANSI rules."""
+
+    def spread(x: str, other: str) -> Column:
+        return F.stddev_pop(F.when(F.col(other).isNotNull(), F.col(x)))
+
+    if a == b:
+        return F.when(F.stddev_pop(a) > 0, 1.0)
+    return F.try_divide(F.covar_pop(a, b), spread(a, b) * spread(b, a))
+
+
 def _pairwise(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Pearson correlation of each pair over rows where both are present."""
     names = {c: f"x{i}" for i, c in enumerate(dict.fromkeys(c for p in pairs for c in p))}
@@ -33,7 +44,7 @@ def _pairwise(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
         ]
     )
     row = numbers.agg(
-        *[F.corr(names[a], names[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
+        *[_pearson(names[a], names[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
     )
     return row.select(
         F.inline(
