@@ -113,6 +113,8 @@ def values_at_ranks(
     NaN counts as null.
     """
     names = list(columns)
+    if not names:
+        return {}
     internal = {name: f"c{i}" for i, name in enumerate(names)}
     data = df.select(
         *[
