@@ -22,7 +22,7 @@ from stayrate.session import settle
 BLOCK = 2_000
 #: Pivots sit in every task, as one matrix.
 MAX_PIVOTS = 16_384
-POINTS_PER_CELL = 1_000
+POINTS_PER_CELL = 4_000
 #: Numbers a task holds at once while it compares vectors.
 _WORKSPACE = 4_000_000
 
@@ -124,10 +124,14 @@ def _candidates(
         # Rounding lets equal distances tie, to be settled by ``vid``.
         d = np.round(_distances(_matrix(queries["vec"]), _matrix(stored["vec"])), 9)
         d[q_vid[:, None] == s_vid[None, :]] = np.inf
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(q_vid)), best.shape[1])
-        columns = best.ravel()
-        kept = np.isfinite(d[rows, columns])
+        near = min(k, d.shape[1])
+        limit = np.partition(d, near - 1, axis=1)[:, near - 1 : near]
+        rows, columns = np.nonzero((d <= limit) & np.isfinite(d))
+        order = np.lexsort((columns, d[rows, columns], rows))
+        rows, columns = rows[order], columns[order]
+        # Place of each candidate within its query, ties beyond ``k`` dropped.
+        starts = np.searchsorted(rows, rows, side="left")
+        kept = np.arange(len(rows)) - starts < k
         rows, columns = rows[kept], columns[kept]
         picked = stored.iloc[columns]
         return pd.DataFrame(

@@ -13,6 +13,7 @@ import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,48 +105,49 @@ def _narrow(data: DataFrame, brackets: list[_Bracket]) -> None:
 def values_at_ranks(
     df: DataFrame,
     columns: Mapping[str, Column],
-    ranks: Callable[[str, int], Sequence[int]],
+    ranks: Callable[[dict[str, int]], Mapping[str, Sequence[int]]],
     gather_limit: int = GATHER_LIMIT,
-) -> dict[str, tuple[int, dict[int, float]]]:
-    """For each column, its non-null count and the values at 0-based ranks.
+) -> tuple[dict[str, int], dict[str, dict[int, float]]]:
+    """Non-null counts per column, and the values at the 0-based ranks asked for.
 
-    ``ranks(name, n)`` names the ranks wanted of the column with ``n`` values.
-    NaN counts as null.
+    ``ranks`` is told all counts and names the ranks per column. Ranks outside
+    a column are ignored. NaN counts as null.
     """
     names = list(columns)
     if not names:
-        return {}
+        return {}, {}
     internal = {name: f"c{i}" for i, name in enumerate(names)}
+    # Only these numbers are kept, so later rounds do not redo what made them.
     data = df.select(
         *[
             F.nanvl(columns[name].cast("double"), F.lit(None)).alias(internal[name])
             for name in names
         ]
-    )
-    row = data.agg(*[F.count(c).alias(c) for c in internal.values()]).first()
-    sizes = {name: row[internal[name]] for name in names}
-    brackets = {
-        (name, r): _Bracket(internal[name], r, inside=sizes[name])
-        for name in names
-        for r in set(ranks(name, sizes[name]))
-        if 0 <= r < sizes[name]
-    }
-    pending = list(brackets.values())
-    while pending:
-        few = [b for b in pending if b.inside <= gather_limit]
-        if few:
-            _pick(data, few)
-        wide = [b for b in pending if b.value is None]
-        if wide:
-            _narrow(data, wide)
-        pending = [b for b in wide if b.value is None]
-    return {
-        name: (
-            sizes[name],
-            {r: b.value for (owner, r), b in brackets.items() if owner == name},
-        )
-        for name in names
-    }
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        row = data.agg(*[F.count(c).alias(c) for c in internal.values()]).first()
+        sizes = {name: row[internal[name]] for name in names}
+        brackets = {
+            (name, r): _Bracket(internal[name], r, inside=sizes[name])
+            for name, wanted in ranks(sizes).items()
+            for r in set(wanted)
+            if 0 <= r < sizes[name]
+        }
+        pending = list(brackets.values())
+        while pending:
+            few = [b for b in pending if b.inside <= gather_limit]
+            if few:
+                _pick(data, few)
+            wide = [b for b in pending if b.value is None]
+            if wide:
+                _narrow(data, wide)
+            pending = [b for b in wide if b.value is None]
+    finally:
+        data.unpersist()
+    found: dict[str, dict[int, float]] = {name: {} for name in names}
+    for (name, r), b in brackets.items():
+        found[name][r] = b.value
+    return sizes, found
 
 
 def quantiles(
@@ -156,19 +158,22 @@ def quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation; None for a column of nulls."""
 
-    def wanted(_, n: int) -> list[int]:
-        places = [(n - 1) * q for q in probs] if n else []
-        return [r for h in places for r in (math.floor(h), math.ceil(h))]
+    def wanted(sizes: dict[str, int]) -> dict[str, list[int]]:
+        places = {name: [(n - 1) * q for q in probs] for name, n in sizes.items() if n}
+        return {
+            name: [r for h in found for r in (math.floor(h), math.ceil(h))]
+            for name, found in places.items()
+        }
 
-    found = values_at_ranks(df, columns, wanted, gather_limit)
+    sizes, values = values_at_ranks(df, columns, wanted, gather_limit)
     result: dict[str, list[float | None]] = {}
-    for name, (n, values) in found.items():
+    for name, n in sizes.items():
         result[name] = []
         for q in probs:
             if not n:
                 result[name].append(None)
                 continue
             h = (n - 1) * q
-            low, high = values[math.floor(h)], values[math.ceil(h)]
+            low, high = values[name][math.floor(h)], values[name][math.ceil(h)]
             result[name].append(low + (high - low) * (h - math.floor(h)))
     return result

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (
     OneHotEncoder,
@@ -164,6 +165,17 @@ def fit_preparation(
     found_numeric, found_categorical = feature_types(df)
     numeric = list(found_numeric if numeric is None else numeric)
     categorical = list(found_categorical if categorical is None else categorical)
+    # Each statistic is a pass; the columns they need are kept meanwhile.
+    kept = df.select(*numeric, *categorical).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return PipelineModel(_fit_stages(kept, numeric, categorical, output))
+    finally:
+        kept.unpersist()
+
+
+def _fit_stages(
+    df: DataFrame, numeric: list[str], categorical: list[str], output: str
+) -> list:
     medians = fit_medians(df, numeric)
     scales = fit_scales(df, numeric, medians)
     modes = fit_modes(df, categorical)
@@ -187,7 +199,7 @@ def fit_preparation(
     stages.append(VectorAssembler(inputCols=blocks, outputCol=output))
     dropped = ", ".join(f"`{c}`" for c in scratch)
     stages.append(SQLTransformer(statement=f"SELECT * EXCEPT ({dropped}) FROM __THIS__"))
-    return PipelineModel(stages)
+    return stages
 
 
 def feature_names(df: DataFrame, column: str = "features") -> list[str]:

@@ -40,20 +40,27 @@ def class_counts(df: DataFrame, label: str, classes: Sequence) -> dict:
     return {c: row[f"n{i}"] for i, c in enumerate(classes)}
 
 
-def _cutoffs(df, key, seed, label, classes, counts_for) -> dict:
-    """Per class the hash values up to which ``counts_for(class, n)`` rows lie."""
+def _cutoffs(df, key, seed, label, classes, wanted) -> tuple[dict, dict]:
+    """Class counts, and per class the hash values that end its first ``k`` rows.
+
+    ``wanted`` is told the counts and names the ``k`` of each class it needs.
+    """
     place = hash_place(key, seed)
     names = {str(i): c for i, c in enumerate(classes)}
-    found = values_at_ranks(
-        df,
-        {i: F.when(F.col(label) == c, place) for i, c in names.items()},
-        lambda i, n: [k - 1 for k in counts_for(names[i], n)],
+    asked: dict = {}
+
+    def ranks(sizes: dict[str, int]) -> dict[str, list[int]]:
+        asked.update(wanted({names[i]: n for i, n in sizes.items()}))
+        return {i: [k - 1 for k in asked[c]] for i, c in names.items() if c in asked}
+
+    sizes, found = values_at_ranks(
+        df, {i: F.when(F.col(label) == c, place) for i, c in names.items()}, ranks
     )
-    result = {}
-    for i, c in names.items():
-        n, values = found[i]
-        result[c] = [values.get(k - 1, -1.0) for k in counts_for(c, n)]
-    return result
+    counts = {names[i]: n for i, n in sizes.items()}
+    cutoffs = {
+        c: [found[i].get(k - 1, -1.0) for k in asked[c]] for i, c in names.items() if c in asked
+    }
+    return counts, cutoffs
 
 
 def _up_to(cutoffs: dict, label: str, key: str, seed) -> Column:
@@ -86,8 +93,11 @@ def mark_test(
     classes: Sequence = CLASSES,
 ) -> DataFrame:
     """Add ``is_test``, true for the exact test quota of each class."""
-    quotas = test_quotas(class_counts(df, label, classes), test_size)
-    cutoffs = _cutoffs(df, key, seed, label, classes, lambda c, n: [quotas[c]])
+
+    def wanted(counts: dict) -> dict:
+        return {c: [k] for c, k in test_quotas(counts, test_size).items()}
+
+    _, cutoffs = _cutoffs(df, key, seed, label, classes, wanted)
     return df.withColumn("is_test", _up_to(cutoffs, label, key, seed))
 
 
@@ -109,9 +119,11 @@ def stratified_folds(
     classes: Sequence = CLASSES,
 ) -> DataFrame:
     """Add ``fold``: per class, fold sizes are within one row of each other."""
-    cutoffs = _cutoffs(
-        df, key, seed, label, classes, lambda c, n: [j * n // folds for j in range(1, folds)]
-    )
+
+    def wanted(counts: dict) -> dict:
+        return {c: [j * n // folds for j in range(1, folds)] for c, n in counts.items()}
+
+    _, cutoffs = _cutoffs(df, key, seed, label, classes, wanted)
     place = hash_place(key, seed)
     fold = F.lit(0)
     for c, edges in cutoffs.items():
@@ -149,10 +161,17 @@ def oversample_random(
     Repeats are spread evenly: every row gets the whole number of copies, the
     rest go to the first rows in hash order.
     """
-    counts = class_counts(df, label, classes)
-    minor, extra = extra_rows(counts, ratio)
-    whole, rest = divmod(extra, counts[minor]) if counts[minor] else (0, 0)
-    cutoffs = _cutoffs(df, key, seed, label, [minor], lambda c, n: [rest])
+
+    def shares(counts: dict) -> tuple:
+        minor, extra = extra_rows(counts, ratio)
+        return minor, *(divmod(extra, counts[minor]) if counts[minor] else (0, 0))
+
+    def wanted(counts: dict) -> dict:
+        minor, _, rest = shares(counts)
+        return {minor: [rest]}
+
+    counts, cutoffs = _cutoffs(df, key, seed, label, classes, wanted)
+    minor, whole, _ = shares(counts)
     last = F.when(
         F.col(label) == minor,
         F.lit(whole) + _up_to(cutoffs, label, key, seed).cast("int"),
@@ -169,12 +188,16 @@ def undersample_random(
     classes: Sequence = CLASSES,
 ) -> DataFrame:
     """Keep majority rows by hash order until minority/majority = ratio."""
-    counts = class_counts(df, label, classes)
-    minor, major = _minor_major(counts)
-    keep = int(counts[minor] / ratio)
-    if keep > counts[major]:
-        raise ValueError(f"ratio {ratio} is below the present one")
-    cutoffs = _cutoffs(df, key, seed, label, [major], lambda c, n: [keep])
+
+    def wanted(counts: dict) -> dict:
+        minor, major = _minor_major(counts)
+        keep = int(counts[minor] / ratio)
+        if keep > counts[major]:
+            raise ValueError(f"ratio {ratio} is below the present one")
+        return {major: [keep]}
+
+    counts, cutoffs = _cutoffs(df, key, seed, label, classes, wanted)
+    minor, _ = _minor_major(counts)
     return df.where((F.col(label) == minor) | _up_to(cutoffs, label, key, seed))
 
 

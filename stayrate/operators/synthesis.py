@@ -47,7 +47,7 @@ def _with_quota(
 ) -> DataFrame:
     """Minority rows with how many synthetic rows each starts."""
     whole, rest = divmod(extra, n_minor)
-    cutoffs = _cutoffs(rows, "key", seed, "label", [minor], lambda c, n: [rest])
+    _, cutoffs = _cutoffs(rows, "key", seed, "label", [minor], lambda _: {minor: [rest]})
     more = _up_to(cutoffs, "label", "key", seed).cast("bigint")
     return rows.where(F.col("label") == minor).withColumn("quota", F.lit(whole) + more)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stayrate.operators.cleaning import coerce_total
 from stayrate.operators.resampling import SEED, hash_share
 from stayrate.operators.running import running_totals
 from stayrate.operators.scoring import PROBABILITY, Scorer, with_probability
@@ -45,7 +46,9 @@ def price_sensitivity(
     Every account is repeated per factor next to its own data and aggregated
     before anything is shuffled.
     """
-    repeated = accounts.withColumn(
+    # Totals do not depend on the factor, so they are read once per account.
+    once = coerce_total(accounts) if "TotalCharges" in accounts.columns else accounts
+    repeated = once.withColumn(
         "price_factor", F.explode(F.array(*[F.lit(float(f)) for f in factors]))
     ).withColumn("MonthlyCharges", F.col("MonthlyCharges") * F.col("price_factor"))
     return (

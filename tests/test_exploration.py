@@ -49,8 +49,11 @@ def test_quantiles_of_nothing(spark):
 def test_quantiles_with_infinities(spark):
     inf = float("inf")
     df = spark.createDataFrame([(v,) for v in [-inf, -inf, 1.0, 2.0, inf]], "x double")
-    found = order_stats.values_at_ranks(df, {"x": F.col("x")}, lambda c, n: range(n), 1)
-    assert found["x"][1] == {0: -inf, 1: -inf, 2: 1.0, 3: 2.0, 4: inf}
+    sizes, found = order_stats.values_at_ranks(
+        df, {"x": F.col("x")}, lambda sizes: {"x": range(sizes["x"])}, 1
+    )
+    assert sizes == {"x": 5}
+    assert found["x"] == {0: -inf, 1: -inf, 2: 1.0, 3: 2.0, 4: inf}
 
 
 @pytest.mark.parametrize("buckets", [1, 3, 16])
