@@ -57,7 +57,12 @@ def choose_pivots(data: DataFrame, n: int) -> np.ndarray:
 
 
 def assign_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add ``cell``, the nearest pivot, and ``reach``, the distance to it."""
+    """Add ``cell``, the nearest pivot, and ``reach``, the distance to it.
+
+    A lone pivot's cell is everything, and its reach is not needed.
+    """
+    if len(pivots) == 1:
+        return points.withColumns({"cell": F.lit(0), "reach": F.lit(0.0)})
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _slices(batches, len(pivots)):
@@ -181,12 +186,15 @@ def nearest(
     a point is not its own neighbour. ``payload`` columns of ``data`` come along
     in the neighbour structs ``(distance, vid, vec, ...)``. Ties go by ``vid``.
     """
+    own = queries is data
     data = data.select("vid", "vec", *payload)
-    queries = queries.select("vid", "vec")
     n = data.count()
     pivots = choose_pivots(data, n)
     data = settle(assign_cells(data, pivots))
-    queries = settle(assign_cells(queries, pivots))
+    if own:
+        queries = data.select("vid", "vec", "cell", "reach")
+    else:
+        queries = settle(assign_cells(queries.select("vid", "vec"), pivots))
     first = settle(_best(_candidates(queries, data, k, payload), k))
     if len(pivots) == 1:
         return first
