@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stayrate.operators.resampling import hash_share
 from stayrate.session import settle
 
 BLOCK = 2_000
@@ -50,10 +51,18 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def choose_pivots(data: DataFrame, n: int) -> np.ndarray:
-    """A bounded number of points, picked by hash, as rows of a matrix."""
+    """About one point per cell wanted, picked by hash, as rows of a matrix.
+
+    Each task keeps its own few picks; nothing is sorted or merged on the driver.
+    """
     wanted = min(MAX_PIVOTS, max(1, n // POINTS_PER_CELL))
-    rows = data.select("vec").orderBy(F.xxhash64("vid"), "vid").limit(wanted).collect()
-    return np.array([r["vec"] for r in rows])
+    if wanted == 1:
+        rows = data.select("vid", "vec").limit(1).collect()
+    else:
+        picked = data.where(hash_share("vid", "pivot") < wanted / n)
+        rows = picked.select("vid", "vec").limit(2 * wanted).collect()
+    rows = rows or data.select("vid", "vec").limit(1).collect()
+    return np.array([r["vec"] for r in sorted(rows, key=lambda r: r["vid"])])
 
 
 def assign_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stayrate.functions.cleaning import is_yes
+from stayrate.functions.cleaning import NUMBER_PATTERN
 from stayrate.operators import association, cleaning, distributions, quality, segments
 from stayrate.plans.oracle_views import ACCOUNTS, CLEANED, COLUMNS, FEATURED
 from stayrate.plans.registry import Query, rounds
@@ -168,8 +168,8 @@ def _describe_sql(columns) -> str:
     )
 
 
-_REASON = """
-    CASE WHEN NOT regexp_matches(trim(TotalCharges), '^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$')
+_REASON = f"""
+    CASE WHEN NOT regexp_matches(trim(TotalCharges), '{NUMBER_PATTERN}')
               THEN 'TotalCharges: not a number'
          WHEN TRY_CAST(trim(TotalCharges) AS DOUBLE) < 0 THEN 'TotalCharges: negative' END"""
 

@@ -143,12 +143,14 @@ def test_histogram_keeps_every_row(spark):
     rows = distributions.histogram_by_class(df, "MonthlyCharges").collect()
     assert sum(r["n"] for r in rows) == 101
     counts, _ = np.histogram(values, bins=30)
-    assert abs(np.array([r["n"] for r in sorted(rows, key=lambda r: r["bin"])]) - counts).sum() <= 4
+    found = np.array([r["n"] for r in sorted(rows, key=lambda r: r["bin"])])
+    assert abs(found - counts).sum() <= 4  # values on an edge may round either way
 
 
 def test_density_integrates_to_one(spark):
     rng = np.random.default_rng(0)
-    df = spark.createDataFrame([("a", float(v)) for v in rng.normal(size=300)], "g string, x double")
+    values = [("a", float(v)) for v in rng.normal(size=300)]
+    df = spark.createDataFrame(values, "g string, x double")
     rows = distributions.histogram_density(df, "x", "g").collect()
     assert sum(r["density"] * (r["bin_end"] - r["bin_start"]) for r in rows) == pytest.approx(1)
     curve = sorted((r["grid"], r["density"]) for r in distributions.kde(df, "x", "g").collect())
@@ -195,7 +197,8 @@ def test_chi_square_tail(x, dof, p):
 
 def test_chi_square_of_a_larger_table_with_an_empty_cell(spark):
     cells = {("a", "x"): 10, ("a", "y"): 20, ("b", "x"): 30, ("b", "y"): 5, ("c", "x"): 7}
-    df = spark.createDataFrame([k for k, n in cells.items() for _ in range(n)], "r string, c string")
+    rows = [k for k, n in cells.items() for _ in range(n)]
+    df = spark.createDataFrame(rows, "r string, c string")
     o = np.array([[10, 20], [30, 5], [7, 0]], dtype=float)
     e = o.sum(1, keepdims=True) * o.sum(0, keepdims=True) / o.sum()
     row = association.chi_square(df, "r", "c").first()

@@ -81,7 +81,7 @@ def test_reasons_in_order(spark):
 
 def test_absent_values_in_reasons(spark):
     quiet = dict.fromkeys(TYPES.replace(",", "").split()[::2])
-    df = spark.createDataFrame([tuple({**quiet, "OnlineSecurity": "No"}.values())], TYPES.replace("customerID string", "customerID string"))
+    df = spark.createDataFrame([tuple({**quiet, "OnlineSecurity": "No"}.values())], TYPES)
     assert _factors(df) == ["New customer (tenure: 0 months)", "No online security service"]
     assert _actions(df, 0.5) == [
         "Implement new customer retention program",
@@ -94,7 +94,10 @@ def test_no_internet_hides_service_reasons(spark):
     assert not any("service" in f for f in factors)
 
 
-@pytest.mark.parametrize("charge, text", [(70.0, None), (70.125, "$70.12"), (70.375, "$70.38"), (1234.5, "$1234.50")])
+@pytest.mark.parametrize(
+    "charge, text",
+    [(70.0, None), (70.125, "$70.12"), (70.375, "$70.38"), (1234.5, "$1234.50")],
+)
 def test_charge_reason(spark, charge, text):
     last = _factors(_profile(spark, MonthlyCharges=charge))[-1]
     assert (text is None and "charges" not in last) or text in last
@@ -127,8 +130,8 @@ def test_scores_do_not_depend_on_partitions(accounts):
 
 
 def test_summary_of_nothing(accounts):
-    row = scoring.batch_summary(scoring.score_batch(accounts.where("false"), scoring.scorecard)).first()
-    assert tuple(row) == (0, 0, 0.0, 0)
+    nothing = scoring.score_batch(accounts.where("false"), scoring.scorecard)
+    assert tuple(scoring.batch_summary(nothing).first()) == (0, 0, 0.0, 0)
 
 
 # --- curves ---------------------------------------------------------------
@@ -170,7 +173,8 @@ def test_curves_against_thresholding(scored):
 
 def test_report_without_predicted_positives(spark):
     df = spark.createDataFrame([(1, 0), (0, 0)], "label int, predicted int")
-    rows = {r["class"]: r for r in evaluation.classification_report(df, "label", "predicted").collect()}
+    report = evaluation.classification_report(df, "label", "predicted")
+    rows = {r["class"]: r for r in report.collect()}
     assert (rows["1"]["precision"], rows["1"]["recall"], rows["1"]["f1"]) == (0.0, 0.0, 0.0)
     assert rows["accuracy"]["f1"] == 0.5 and rows["0"]["support"] == 1
 
@@ -187,7 +191,8 @@ def test_unchanged_price_is_the_baseline(accounts):
 
 def test_revenue_parts_sum_to_the_whole(accounts):
     row = whatif.revenue_impact(scoring.with_probability(accounts, scoring.scorecard)).first()
-    assert row["expected_churners"] + row["expected_retained"] == pytest.approx(row["total_customers"])
+    customers = row["expected_churners"] + row["expected_retained"]
+    assert customers == pytest.approx(row["total_customers"])
     assert row["churn_rate"] + row["retention_rate"] == pytest.approx(1)
     assert row["expected_lost_revenue"] + row["expected_retained_revenue"] == pytest.approx(
         row["total_potential_revenue"]
@@ -219,7 +224,8 @@ def test_scenarios_leave_other_rows_alone(accounts):
 
 
 def test_profile_kinds(spark):
-    df = spark.createDataFrame([(i, i % 9, "a") for i in range(40)], "many int, few int, text string")
+    rows = [(i, i % 9, "a") for i in range(40)]
+    df = spark.createDataFrame(rows, "many int, few int, text string")
     assert whatif.detect_kinds(df, ["many", "few", "text"]) == {
         "many": "normal",
         "few": "choice",
@@ -257,8 +263,9 @@ def test_shifts(spark):
         [(f"c{i}", float(v)) for i, v in enumerate(x)] + [("none", None)],
         "customerID string, x double",
     )
-    moved = whatif.shift_normal(df, "x", 10, 3).agg(F.avg("x"), F.stddev_samp("x"), F.count("x")).first()
-    assert tuple(moved) == pytest.approx((10, 3, 500))
+    moved = whatif.shift_normal(df, "x", 10, 3)
+    stats = moved.agg(F.avg("x"), F.stddev_samp("x"), F.count("x")).first()
+    assert tuple(stats) == pytest.approx((10, 3, 500))
 
     even = {r["customerID"]: r["x"] for r in whatif.shift_uniform(df, "x", 0, 100).collect()}
     assert even["none"] is None and len(even) == 501

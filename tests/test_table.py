@@ -63,7 +63,9 @@ def test_filter(incoming):
 
 def test_updates(spark):
     stored = table.with_stamps(
-        spark.createDataFrame([("a", "x", 1), ("b", "y", 2)], "customerID string, Contract string, tenure int"),
+        spark.createDataFrame(
+            [("a", "x", 1), ("b", "y", 2)], "customerID string, Contract string, tenure int"
+        ),
         F.lit("2020-01-01").cast("timestamp"),
     )
     updates = spark.createDataFrame(
@@ -92,9 +94,8 @@ def test_export(spark, incoming, tmp_path):
 
 
 def test_parameters_of_free_sql(spark, incoming):
-    rows = files.run_sql(
-        spark, "SELECT customerID FROM t WHERE tenure > ? AND Contract = ?", [1, "One year"], {"t": incoming}
-    )
+    query = "SELECT customerID FROM t WHERE tenure > ? AND Contract = ?"
+    rows = files.run_sql(spark, query, [1, "One year"], {"t": incoming})
     assert sorted(str(r[0]) for r in rows.collect()) == ["None", "b"]
 
 
@@ -157,9 +158,9 @@ def _source(df, path):
 
 def test_streamed_scores_equal_batch_scores(spark, small, tmp_path):
     accounts = load_accounts(spark, small)
-    bad = accounts.limit(3).withColumn("MonthlyCharges", F.lit("abc"))
     text = accounts.select(*[F.col(c).cast("string") for c in ACCOUNT_COLUMNS])
-    source = _source(text.unionByName(bad.select(*[F.col(c).cast("string") for c in ACCOUNT_COLUMNS])), str(tmp_path / "in"))
+    bad = text.limit(3).withColumn("MonthlyCharges", F.lit("abc"))
+    source = _source(text.unionByName(bad), str(tmp_path / "in"))
     target, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
     query = streams.stream_score(
         streams.read_accounts(spark, source, 2), scoring.scorecard, target, checkpoint
@@ -176,7 +177,8 @@ def test_streamed_inserts_are_unique_and_replayable(spark, small, tmp_path):
     source = str(tmp_path / "in")
     accounts.unionByName(accounts).repartition(6).write.parquet(source)
     target = str(tmp_path / "out")
-    arriving = spark.readStream.schema(accounts.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    reader = spark.readStream.schema(accounts.schema).option("maxFilesPerTrigger", 2)
+    arriving = reader.parquet(source)
     for run in ("one", "two"):
         # A second run from a fresh checkpoint repeats the batch numbers.
         streams.stream_ingest(arriving, "arrival", target, str(tmp_path / run)).awaitTermination()
