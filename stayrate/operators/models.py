@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import threading
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import ExitStack, contextmanager
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, PipelineModel
@@ -139,6 +141,65 @@ def classifier_for(family: str, values: Mapping, n: int, seed: int = SEED, **col
     raise ValueError(f"unknown model family: {family}")
 
 
+@contextmanager
+def encoded_rows(df: DataFrame) -> Iterator[tuple[PipelineModel, DataFrame]]:
+    """Preparation fitted on ``df`` and its encoded rows, kept while in use.
+
+    Resampling and solvers read the encoded rows many times, and several
+    settings or families can share them.
+    """
+    preparation = fit_preparation(df)
+    encoded = (
+        preparation.transform(df)
+        .select(F.col(KEY).cast("string").alias(KEY), "features", F.col("label").cast("int"))
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    try:
+        yield preparation, encoded
+    finally:
+        encoded.unpersist()
+
+
+def fit_encoded(
+    preparation: PipelineModel, encoded: DataFrame, family: str, setting: Mapping
+) -> PipelineModel:
+    """Resample encoded rows, fit the family's classifier, and join it to its preparation."""
+    classifier, how = split_setting(setting)
+    rows = resample(encoded, how)
+    weighted = _weighted(rows, classifier)
+    columns = {} if weighted is None else {"weightCol": "weight"}
+    rows = rows if weighted is None else weighted
+    n = rows.count() if family == "logistic" else 0
+    model = classifier_for(family, classifier, n, **columns).fit(rows)
+    return PipelineModel([*preparation.stages, model])
+
+
+class _SharedFits:
+    """Iterator of ``(index, model)`` that threads may draw from at once."""
+
+    def __init__(self, fit: Callable[[int], PipelineModel], n: int, done: Callable):
+        self._fit, self._n, self._done = fit, n, done
+        self._next = self._finished = 0
+        self._lock = threading.Lock()
+
+    def __iter__(self) -> _SharedFits:
+        return self
+
+    def __next__(self) -> tuple[int, PipelineModel]:
+        with self._lock:
+            i = self._next
+            if i >= self._n:
+                raise StopIteration
+            self._next += 1
+        try:
+            return i, self._fit(i)
+        finally:
+            with self._lock:
+                self._finished += 1
+                if self._finished == self._n:
+                    self._done()
+
+
 class ChurnEstimator(Estimator):
     """Fits preparation, then a classifier on resampled rows.
 
@@ -153,25 +214,22 @@ class ChurnEstimator(Estimator):
         super().__init__()
         self._set(family=family, setting=dict(setting or {}))
 
+    def _fit_rows(self, preparation: PipelineModel, encoded: DataFrame) -> PipelineModel:
+        family, setting = self.getOrDefault(self.family), self.getOrDefault(self.setting)
+        return fit_encoded(preparation, encoded, family, setting)
+
     def _fit(self, dataset: DataFrame) -> PipelineModel:
-        classifier, how = split_setting(self.getOrDefault(self.setting))
-        preparation = fit_preparation(dataset)
-        encoded = preparation.transform(dataset).select(
-            F.col(KEY).cast("string").alias(KEY), "features", F.col("label").cast("int")
+        with encoded_rows(dataset) as (preparation, encoded):
+            return self._fit_rows(preparation, encoded)
+
+    def fitMultiple(self, dataset: DataFrame, paramMaps) -> _SharedFits:
+        """Fit several settings on one preparation of the same rows."""
+        variants = [self.copy(m) for m in paramMaps]
+        stack = ExitStack()
+        preparation, encoded = stack.enter_context(encoded_rows(dataset))
+        return _SharedFits(
+            lambda i: variants[i]._fit_rows(preparation, encoded), len(variants), stack.close
         )
-        # Resampling and the solver read the encoded rows many times.
-        encoded = encoded.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            rows = resample(encoded, how)
-            weighted = _weighted(rows, classifier)
-            columns = {} if weighted is None else {"weightCol": "weight"}
-            rows = rows if weighted is None else weighted
-            family = self.getOrDefault(self.family)
-            n = rows.count() if family == "logistic" else 0
-            model = classifier_for(family, classifier, n, **columns).fit(rows)
-        finally:
-            encoded.unpersist()
-        return PipelineModel([*preparation.stages, model])
 
 
 def train(df: DataFrame, family: str, setting: Mapping | None = None) -> PipelineModel:
@@ -179,6 +237,15 @@ def train(df: DataFrame, family: str, setting: Mapping | None = None) -> Pipelin
     return ChurnEstimator(family, setting).fit(df)
 
 
+def train_families(df: DataFrame, settings: Mapping[str, Mapping]) -> dict[str, PipelineModel]:
+    """Fit several families, each with its setting, on one preparation of the rows."""
+    with encoded_rows(df) as (preparation, encoded):
+        return {
+            family: fit_encoded(preparation, encoded, family, setting)
+            for family, setting in settings.items()
+        }
+
+
 def train_logistic(df: DataFrame, setting: Mapping | None = None) -> PipelineModel:
     return train(df, "logistic", setting)
 

@@ -3,7 +3,6 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import functions as F
 
 from stayrate.operators import neighbours, synthesis
 
