@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Band floors, labels, reasons and actions users see.
+# Band floors and names, limits, reasons and actions users see.
 RISK_BANDS = ((0.8, "Very High"), (0.6, "High"), (0.4, "Medium"), (0.2, "Low"))
 LOWEST_BAND = "Very Low"
 HIGH_CHARGE = 70
@@ -13,6 +13,22 @@ NEW_ACCOUNT_MONTHS = 6
 EARLY_MONTHS = 12
 LOW_RISK = 0.3
 PRIORITY_RISK = 0.7
+REASONS = {
+    "contract": "Month-to-month contract (higher churn risk)",
+    "tenure": ("New customer (tenure: ", " months)"),
+    "payment": "Electronic check payment (associated with higher churn)",
+    "security": "No online security service",
+    "support": "No tech support service",
+    "charges": "High monthly charges ($%.2f)",
+}
+ACTIONS = {
+    "low": "Low risk - maintain regular engagement",
+    "contract": "Offer incentive to switch to annual contract",
+    "tenure": "Implement new customer retention program",
+    "services": "Bundle additional services with discount",
+    "charges": "Review pricing and offer competitive rate",
+    "priority": "Priority intervention - personal outreach recommended",
+}
 
 # Weights of the constant scorecard, a stand-in for a fitted model.
 SCORECARD_INTERCEPT = -1.0
@@ -64,73 +80,43 @@ def _or_zero(name: str) -> Column:
 
 
 def churn_factors() -> Column:
-    """Ordered ``array<string>`` of reasons an account is at risk."""
-    has_service = ~F.col("InternetService").eqNullSafe("No")
-    return F.array_compact(
-        F.array(
-            F.when(
-                F.col("Contract") == "Month-to-month",
-                "Month-to-month contract (higher churn risk)",
-            ),
-            F.when(
-                _or_zero("tenure") < NEW_ACCOUNT_MONTHS,
-                F.concat(
-                    F.lit("New customer (tenure: "),
-                    _or_zero("tenure").cast("string"),
-                    F.lit(" months)"),
-                ),
-            ),
-            F.when(
-                F.col("PaymentMethod") == "Electronic check",
-                "Electronic check payment (associated with higher churn)",
-            ),
-            F.when(
-                has_service & (F.col("OnlineSecurity") == "No"),
-                "No online security service",
-            ),
-            F.when(
-                has_service & (F.col("TechSupport") == "No"), "No tech support service"
-            ),
-            F.when(
-                _or_zero("MonthlyCharges") > HIGH_CHARGE,
-                # ``rint`` settles half cents to the even cent before formatting.
-                F.format_string(
-                    "High monthly charges ($%.2f)",
-                    F.rint(F.col("MonthlyCharges").cast("double") * 100) / 100,
-                ),
-            ),
-        )
-    )
+    """Ordered ``array<string>`` of reasons an account is at risk.
+
+    Missing tenure and charges count as 0, a missing internet service as one.
+    """
+    tenure = _or_zero("tenure")
+    served = ~F.col("InternetService").eqNullSafe("No")
+    before, after = REASONS["tenure"]
+    # ``rint`` settles half cents to the even cent before formatting.
+    charge = F.rint(F.col("MonthlyCharges").cast("double") * 100) / 100
+    reasons = [
+        (F.col("Contract") == "Month-to-month", F.lit(REASONS["contract"])),
+        (
+            tenure < NEW_ACCOUNT_MONTHS,
+            F.concat(F.lit(before), tenure.cast("string"), F.lit(after)),
+        ),
+        (F.col("PaymentMethod") == "Electronic check", F.lit(REASONS["payment"])),
+        (served & (F.col("OnlineSecurity") == "No"), F.lit(REASONS["security"])),
+        (served & (F.col("TechSupport") == "No"), F.lit(REASONS["support"])),
+        (
+            _or_zero("MonthlyCharges") > HIGH_CHARGE,
+            F.format_string(REASONS["charges"], charge),
+        ),
+    ]
+    return F.array_compact(F.array(*[F.when(test, text) for test, text in reasons]))
 
 
 def retention_actions(p: Column) -> Column:
     """Ordered ``array<string>`` of suggested actions for a probability ``p``."""
-    return F.when(
-        p < LOW_RISK, F.array(F.lit("Low risk - maintain regular engagement"))
-    ).otherwise(
-        F.array_compact(
-            F.array(
-                F.when(
-                    F.col("Contract") == "Month-to-month",
-                    "Offer incentive to switch to annual contract",
-                ),
-                F.when(
-                    _or_zero("tenure") < EARLY_MONTHS,
-                    "Implement new customer retention program",
-                ),
-                F.when(
-                    F.col("OnlineSecurity").eqNullSafe("No")
-                    | F.col("TechSupport").eqNullSafe("No"),
-                    "Bundle additional services with discount",
-                ),
-                F.when(
-                    _or_zero("MonthlyCharges") > HIGH_CHARGE,
-                    "Review pricing and offer competitive rate",
-                ),
-                F.when(
-                    p > PRIORITY_RISK,
-                    "Priority intervention - personal outreach recommended",
-                ),
-            )
-        )
+    bare = [F.col(c).eqNullSafe("No") for c in ("OnlineSecurity", "TechSupport")]
+    tests = {
+        "contract": F.col("Contract") == "Month-to-month",
+        "tenure": _or_zero("tenure") < EARLY_MONTHS,
+        "services": bare[0] | bare[1],
+        "charges": _or_zero("MonthlyCharges") > HIGH_CHARGE,
+        "priority": p > PRIORITY_RISK,
+    }
+    chosen = F.array(*[F.when(test, ACTIONS[name]) for name, test in tests.items()])
+    return F.when(p < LOW_RISK, F.array(F.lit(ACTIONS["low"]))).otherwise(
+        F.array_compact(chosen)
     )

@@ -115,6 +115,6 @@ def latest_prediction(predictions: DataFrame, key: str = "customer_id") -> DataF
     fields = [c for c in predictions.columns if c != key]
     return (
         predictions.groupBy(key)
-        .agg(F.max_by(F.struct(*fields), "timestamp").alias("latest"))
-        .select(key, "latest.*")
+        .agg(F.max(F.struct("timestamp", F.struct(*fields).alias("row"))).alias("latest"))
+        .select(key, "latest.row.*")
     )

@@ -35,7 +35,7 @@ def with_stamps(df: DataFrame, now: Column | None = None) -> DataFrame:
 
 
 def _first_per_key(incoming: DataFrame, order: str, key: str) -> DataFrame:
-    """First row of each key by ``order``, and how many rows the key had.
+    """First row of each key by ``order``, then by the fields themselves.
 
     An aggregate keeps one candidate per key and task, so repeated keys are
     reduced before they are shuffled.
@@ -44,8 +44,8 @@ def _first_per_key(incoming: DataFrame, order: str, key: str) -> DataFrame:
     return (
         incoming.where(F.col(key).isNotNull())
         .groupBy(key)
-        .agg(F.min_by(F.struct(*fields), order).alias("first"))
-        .select(key, "first.*")
+        .agg(F.min(F.struct(order, F.struct(*fields).alias("row"))).alias("first"))
+        .select(key, "first.row.*")
     )
 
 
@@ -121,7 +121,7 @@ def update_accounts(
     now = F.current_timestamp() if now is None else now
     last = updates.groupBy(key).agg(
         *[
-            F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"new_{c}")
+            F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(order, c))).alias(f"new_{c}")
             for c in fields
         ],
         F.lit(True).alias("hit"),
