@@ -22,7 +22,6 @@ from stayrate.operators.evaluation import classification_report, roc_auc
 from stayrate.operators.preparation import feature_names, fit_preparation
 from stayrate.operators.resampling import (
     SEED,
-    class_counts,
     class_weights,
     oversample_random,
     undersample_random,
@@ -55,29 +54,24 @@ def split_setting(setting: Mapping) -> tuple[dict, dict]:
 
 
 def resample(df: DataFrame, how: Mapping, seed: int = SEED) -> DataFrame:
-    """Rebalanced encoded rows ``(key, features, label)``."""
+    """Rebalanced encoded rows ``(key, features, label)``.
+
+    Rows balanced beyond the ratio already stay as they are.
+    """
     kind = how["kind"]
     ratio = how.get("sampling_strategy", 1.0)
     k = how.get("k_neighbors", how.get("n_neighbors", 5))
     if kind == "none":
         return df
-    if kind == "oversample":
-        return oversample_random(df, _reachable(df, ratio), "label", KEY, seed, CLASSES)
-    if kind == "undersample":
-        return undersample_random(df, _reachable(df, ratio), "label", KEY, seed, CLASSES)
     if kind == "cluster_centroids":
-        return synthesis.cluster_centroids(df, _reachable(df, ratio), KEY, seed)
-    makers = {"smote": synthesis.smote, "adasyn": synthesis.adasyn, "smoten": synthesis.smoten}
-    if kind not in makers:
-        raise ValueError(f"unknown resampler: {kind}")
-    return makers[kind](df, ratio, k, KEY, seed)
-
-
-def _reachable(df: DataFrame, ratio: float) -> float:
-    """The ratio, or the present one if rows are balanced beyond it already."""
-    a, b = class_counts(df, "label", CLASSES).values()
-    present = min(a, b) / max(a, b, 1)
-    return max(ratio, present)
+        return synthesis.cluster_centroids(df, ratio, KEY, seed, strict=False)
+    drawn = {"oversample": oversample_random, "undersample": undersample_random}
+    if kind in drawn:
+        return drawn[kind](df, ratio, "label", KEY, seed, CLASSES, strict=False)
+    made = {"smote": synthesis.smote, "adasyn": synthesis.adasyn, "smoten": synthesis.smoten}
+    if kind in made:
+        return made[kind](df, ratio, k, KEY, seed, strict=False)
+    raise ValueError(f"unknown resampler: {kind}")
 
 
 def _subset_strategy(value) -> str:

@@ -139,13 +139,25 @@ def _minor_major(counts: dict) -> tuple:
     return (a, b) if n_a <= n_b else (b, a)
 
 
-def extra_rows(counts: dict, ratio: float) -> tuple[object, int]:
-    """Minority class and how many rows it needs for minority/majority = ratio."""
+def extra_rows(counts: dict, ratio: float, strict: bool = True) -> tuple[object, int]:
+    """Minority class and how many rows it needs for minority/majority = ratio.
+
+    A ratio below the present one is an error, or asks for no rows if not strict.
+    """
     minor, major = _minor_major(counts)
     extra = int(counts[major] * ratio - counts[minor])
-    if extra < 0:
+    if extra < 0 and strict:
+        raise ValueError(f"ratio {ratio} is below the present one")
+    return minor, max(extra, 0)
+
+
+def kept_rows(counts: dict, ratio: float, strict: bool = True) -> tuple[object, int]:
+    """Majority class and how many of its rows leave minority/majority = ratio."""
+    minor, major = _minor_major(counts)
+    keep = int(counts[minor] / ratio)
+    if keep > counts[major] and strict:
         raise ValueError(f"ratio {ratio} is below the present one")
-    return minor, extra
+    return major, min(keep, counts[major])
 
 
 def oversample_random(
@@ -155,6 +167,7 @@ def oversample_random(
     key: str = KEY,
     seed: int = SEED,
     classes: Sequence = CLASSES,
+    strict: bool = True,
 ) -> DataFrame:
     """Repeat minority rows up to the ratio; ``copy`` numbers the repeats from 0.
 
@@ -163,7 +176,7 @@ def oversample_random(
     """
 
     def shares(counts: dict) -> tuple:
-        minor, extra = extra_rows(counts, ratio)
+        minor, extra = extra_rows(counts, ratio, strict)
         return minor, *(divmod(extra, counts[minor]) if counts[minor] else (0, 0))
 
     def wanted(counts: dict) -> dict:
@@ -186,14 +199,12 @@ def undersample_random(
     key: str = KEY,
     seed: int = SEED,
     classes: Sequence = CLASSES,
+    strict: bool = True,
 ) -> DataFrame:
     """Keep majority rows by hash order until minority/majority = ratio."""
 
     def wanted(counts: dict) -> dict:
-        minor, major = _minor_major(counts)
-        keep = int(counts[minor] / ratio)
-        if keep > counts[major]:
-            raise ValueError(f"ratio {ratio} is below the present one")
+        major, keep = kept_rows(counts, ratio, strict)
         return {major: [keep]}
 
     counts, cutoffs = _cutoffs(df, key, seed, label, classes, wanted)

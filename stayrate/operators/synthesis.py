@@ -18,10 +18,10 @@ from stayrate.operators.neighbours import BLOCK, assign_cells, choose_pivots, ne
 from stayrate.operators.resampling import (
     SEED,
     _cutoffs,
-    _minor_major,
     _up_to,
     class_counts,
     extra_rows,
+    kept_rows,
 )
 from stayrate.operators.skew import lookup_join
 from stayrate.schema import KEY
@@ -129,11 +129,16 @@ def _with_synthetic(df: DataFrame, synthetic: DataFrame, label: int, key: str) -
 
 
 def smote(
-    df: DataFrame, ratio: float = 1.0, k: int = 5, key: str = KEY, seed: int = SEED
+    df: DataFrame,
+    ratio: float = 1.0,
+    k: int = 5,
+    key: str = KEY,
+    seed: int = SEED,
+    strict: bool = True,
 ) -> DataFrame:
     """Add minority points drawn between a point and one of its ``k`` neighbours."""
     counts = class_counts(df, "label", CLASSES)
-    minor, extra = extra_rows(counts, ratio)
+    minor, extra = extra_rows(counts, ratio, strict)
     if extra == 0:
         return _keep(df, key)
     if counts[minor] < 2:
@@ -147,14 +152,19 @@ def smote(
 
 
 def adasyn(
-    df: DataFrame, ratio: float = 1.0, k: int = 5, key: str = KEY, seed: int = SEED
+    df: DataFrame,
+    ratio: float = 1.0,
+    k: int = 5,
+    key: str = KEY,
+    seed: int = SEED,
+    strict: bool = True,
 ) -> DataFrame:
     """SMOTE with more points where more neighbours are of the majority.
 
     Among equally near rows, minority rows of a vector come before majority ones.
     """
     counts = class_counts(df, "label", CLASSES)
-    minor, extra = extra_rows(counts, ratio)
+    minor, extra = extra_rows(counts, ratio, strict)
     if extra == 0:
         return _keep(df, key)
     everyone = settle(
@@ -227,7 +237,12 @@ def _embedded(rows: DataFrame, minor: int) -> DataFrame:
 
 
 def smoten(
-    df: DataFrame, ratio: float = 1.0, k: int = 5, key: str = KEY, seed: int = SEED
+    df: DataFrame,
+    ratio: float = 1.0,
+    k: int = 5,
+    key: str = KEY,
+    seed: int = SEED,
+    strict: bool = True,
 ) -> DataFrame:
     """Add minority points whose every entry is the commonest among ``k`` neighbours.
 
@@ -235,7 +250,7 @@ def smoten(
     class shares alike are at distance 0.
     """
     counts = class_counts(df, "label", CLASSES)
-    minor, extra = extra_rows(counts, ratio)
+    minor, extra = extra_rows(counts, ratio, strict)
     if extra == 0:
         return _keep(df, key)
     rows = _vectors(df, key)
@@ -292,7 +307,11 @@ def _local_centres(x: np.ndarray, k: int, seed: int, rounds: int = 20) -> np.nda
 
 
 def cluster_centroids(
-    df: DataFrame, ratio: float = 1.0, key: str = KEY, seed: int = SEED
+    df: DataFrame,
+    ratio: float = 1.0,
+    key: str = KEY,
+    seed: int = SEED,
+    strict: bool = True,
 ) -> DataFrame:
     """Replace the majority by as many cluster centres as the ratio asks for.
 
@@ -301,10 +320,7 @@ def cluster_centroids(
     number of centres may grow with the data.
     """
     counts = class_counts(df, "label", CLASSES)
-    minor, major = _minor_major(counts)
-    wanted = int(counts[minor] / ratio)
-    if wanted > counts[major]:
-        raise ValueError(f"ratio {ratio} is below the present one")
+    major, wanted = kept_rows(counts, ratio, strict)
     crowd = df.where(F.col("label") == major)
     if wanted <= MAX_CENTROIDS:
         model = KMeans(k=max(wanted, 2), seed=seed, featuresCol="features").fit(
@@ -316,7 +332,7 @@ def cluster_centroids(
         )
     else:
         made = _block_centres(_vectors(crowd, key), counts[major], wanted, seed)
-    return _with_synthetic(df.where(F.col("label") == minor), made, major, key)
+    return _with_synthetic(df.where(F.col("label") != major), made, major, key)
 
 
 def _block_centres(rows: DataFrame, n: int, wanted: int, seed: int) -> DataFrame:
