@@ -4,14 +4,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from stayrate.plans.catalog import QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
 ).split()
-ORACLES = entry_points.oracle_sql()
+ORACLES = {k: q.oracle() for k, q in QUERIES.items() if q.sql is not None}
 # Queries without SQL that fit models many times are run in test_models.
-ROWS_ONLY = sorted(set(entry_points.queries()) - set(ORACLES))
+ROWS_ONLY = sorted(set(QUERIES) - set(ORACLES))
 
 
 @pytest.fixture(scope="module")
