@@ -32,3 +32,13 @@ def row_key(*columns: str | Column) -> Column:
 
 def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
+
+
+#: Most bytes of a table that may travel to every task.
+SMALL_BYTES = 32 << 20
+
+
+def few_rows(df: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it is small; else left to a shuffle."""
+    size = df.select(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= SMALL_BYTES else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayrate.llm import bpe, exact_dedup, mixing, topk, warc
+from stayrate.llm import bpe, exact_dedup, mixing, near_dedup, substring, topk, toxicity, warc
 from stayrate.llm.common import table
 from stayrate.plans.registry import Query
 
@@ -25,6 +25,65 @@ FROM folded WINDOW w AS (PARTITION BY t)
 """
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return near_dedup.near_components(docs, width=3, percent=85)
+
+
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3
+    THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1),
+      lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s FROM words
+), classes AS (
+  SELECT min(doc_id) AS c, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), items AS (
+  SELECT c, n, unnest(s) AS x FROM classes
+), links AS (
+  SELECT a.c AS a, b.c AS b FROM items a JOIN items b ON a.x = b.x AND a.c != b.c
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT c AS node, c AS r FROM classes
+  UNION SELECT links.b, reached.r FROM reached JOIN links ON links.a = reached.node
+), roots AS (SELECT node, min(r) AS component FROM reached GROUP BY node)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id,
+  doc_id = coalesce(component, doc_id) AS kept
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN roots ON node = c
+"""
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.substring_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP5_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS i,
+    unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' '))))
+      AS h
+  FROM words WHERE len(w) >= 50
+), firsts AS (
+  SELECT *, min(doc_id) OVER (PARTITION BY h) AS owner FROM windows
+), hits AS (
+  SELECT doc_id, list(i) AS starts FROM firsts WHERE owner < doc_id GROUP BY doc_id
+), gone AS (
+  SELECT doc_id, list_distinct(flatten(list_transform(starts, lambda i: range(i, i + 50)))) AS g
+  FROM hits
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN g IS NULL THEN w ELSE list_transform(list_filter(
+    list_zip(w, range(1, len(w) + 1)), lambda p: NOT list_contains(g, p[2])), lambda p: p[1])
+    END, ' ')) AS kept_sha256
+FROM words LEFT JOIN gone USING (doc_id)
+"""
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -66,6 +125,11 @@ JOIN running r ON s.source IS NOT DISTINCT FROM r.source AND s.h = r.h
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_codec())
 
@@ -122,7 +186,10 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": Query(op1_exact_dedup, OP1_SQL),
+    "op4_near_dedup": Query(op4_near_dedup, OP4_SQL),
+    "op5_substring_dedup": Query(op5_substring_dedup, OP5_SQL),
     "op6_mix_sources": Query(op6_mix_sources, OP6_SQL),
+    "op7_toxicity": Query(op7_toxicity),
     "op8_byte_bpe": Query(op8_byte_bpe),
     "op9_warc": Query(op9_warc, OP9_SQL),
     "op10_exact_top_k": Query(op10_exact_top_k, OP10_SQL),
