@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayrate.llm import bpe, exact_dedup, mixing, near_dedup, substring, topk, toxicity, warc
+from stayrate.llm import (
+    bpe,
+    exact_dedup,
+    line_dedup,
+    mixing,
+    near_dedup,
+    secrets,
+    substring,
+    topk,
+    toxicity,
+    warc,
+)
 from stayrate.llm.common import table
 from stayrate.plans.registry import Query
 
@@ -25,6 +36,35 @@ FROM folded WINDOW w AS (PARTITION BY t)
 """
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("findings", lambda f: f["kind"] != "owned")
+
+    def count(condition) -> Column:
+        return F.size(F.filter("findings", condition)).cast("long")
+
+    def of_kind(kind: str) -> Column:
+        return count(lambda f: f["kind"] == kind).alias(f"n_{kind}")
+
+    def joined(findings: Column) -> Column:
+        parts = F.transform(findings, lambda f: F.concat_ws(":", f["kind"], f["start"], f["stop"]))
+        return F.array_join(parts, ",")
+
+    return found.select(
+        "doc_id",
+        *(of_kind(kind) for kind, *_ in secrets.KINDS),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("findings")).alias("spans"),
+        count(lambda f: f["live"]).alias("n_live"),
+        count(lambda f: f["n_owners"] > secrets.LIVE_OWNERS).alias("n_copied"),
+    )
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_counts(table(spark, sf_dir, "documents"))
+    return found.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return near_dedup.near_components(docs, width=3, percent=85)
@@ -186,6 +226,8 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": Query(op1_exact_dedup, OP1_SQL),
+    "op2_secrets": Query(op2_secrets),
+    "op3_line_dedup": Query(op3_line_dedup),
     "op4_near_dedup": Query(op4_near_dedup, OP4_SQL),
     "op5_substring_dedup": Query(op5_substring_dedup, OP5_SQL),
     "op6_mix_sources": Query(op6_mix_sources, OP6_SQL),
