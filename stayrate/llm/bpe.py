@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +23,13 @@ from stayrate.llm.common import type_of
 
 KEYS_PER_BUCKET = 4
 MIX = 0x9E3779B97F4A7C15
+SCATTER = 0xD6E8FEB86659FD93
 MASK = (1 << 64) - 1
-#: Pre-tokens a task remembers before it starts over.
-REMEMBERED = 200_000
+PRIME = (1 << 61) - 1
+#: Pre-tokens, and pieces inside them, that a task remembers before it starts over.
+REMEMBERED = 400_000
+#: Longest pieces remembered, in bytes; longer ones seldom come again.
+SHORT = 4
 ROWS_PER_BATCH = 256
 
 
@@ -42,8 +46,8 @@ class PerfectHash:
         self.buckets = max(1, -(-self.size // KEYS_PER_BUCKET))
         members: dict[int, list[tuple[int, int]]] = {}
         for i, key in enumerate(keys):
-            bucket, number = self._numbers(key)
-            members.setdefault(bucket, []).append((number, i))
+            number = self.number(key)
+            members.setdefault(number % self.buckets, []).append((number, i))
         shifts = np.zeros(self.buckets, np.int64)
         free = np.ones(self.size, bool)
         order = np.full(self.size, -1, np.int64)
@@ -75,25 +79,20 @@ class PerfectHash:
         #: Position of each slot's key in ``keys``.
         self.order = order.tolist()
 
-    def _numbers(self, key: bytes) -> tuple[int, int]:
-        digest = hashlib.blake2b(key, digest_size=16).digest()
-        return (
-            int.from_bytes(digest[:8], "little") % self.buckets,
-            int.from_bytes(digest[8:], "little"),
-        )
+    def number(self, key: bytes) -> int:
+        return (int.from_bytes(key, "little") * 257 + len(key)) % PRIME
 
     def _slots(self, numbers: np.ndarray, shift: np.ndarray) -> np.ndarray:
-        mixed = (numbers ^ (shift * np.uint64(MIX))) * np.uint64(0xD6E8FEB86659FD93)
+        mixed = (numbers ^ (shift * np.uint64(MIX))) * np.uint64(SCATTER)
         return ((mixed >> np.uint64(32)) % np.uint64(self.size)).astype(np.int64)
 
     def slot(self, key: bytes) -> int:
         """The slot of a key; any slot for what is no key."""
-        bucket, number = self._numbers(key)
-        shift = self.shifts[bucket]
+        number = (int.from_bytes(key, "little") * 257 + len(key)) % PRIME
+        shift = self.shifts[number % self.buckets]
         if shift < 0:
             return -shift - 1
-        mixed = ((number ^ ((shift * MIX) & MASK)) * 0xD6E8FEB86659FD93) & MASK
-        return (mixed >> 32) % self.size
+        return ((((number ^ shift * MIX & MASK) * SCATTER) & MASK) >> 32) % self.size
 
 
 class Codec:
@@ -109,6 +108,8 @@ class Codec:
         self.ranks = [ranks[k] for k in self.keys]
         self.longest = max(map(len, keys))
 
+        self.found = _Ranks(self)
+
     def rank(self, piece: bytes) -> int | None:
         if len(piece) > self.longest:
             return None
@@ -121,37 +122,39 @@ class Codec:
         return [whole] if whole is not None else self._merge(piece)
 
     def _merge(self, piece: bytes) -> list[int]:
-        n, rank = len(piece), self.rank
+        n, found = len(piece), self.found
+        own = [found[piece[i : i + 1]] for i in range(n)]
         end = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        after = list(range(1, n + 1))
-        alive = [True] * n
+        # A heap entry is rank, start and stop of a pair in one number.
         heap = []
-
-        def push(i: int) -> None:
-            if i >= 0 and (j := after[i]) < n:
-                found = rank(piece[i : end[j]])
-                if found is not None:
-                    heapq.heappush(heap, (found, i, end[j]))
-
         for i in range(n - 1):
-            push(i)
+            rank = found[piece[i : i + 2]]
+            if rank is not None:
+                heap.append(rank << 64 | i << 32 | i + 2)
+        heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
+            entry = heappop(heap)
+            i, stop = entry >> 32 & 0xFFFFFFFF, entry & 0xFFFFFFFF
+            middle = end[i]
             # Stale: the left part is gone, or either part has grown since.
-            if not alive[i] or (j := after[i]) >= n or end[j] != stop:
+            if middle == 0 or middle == n or end[middle] != stop:
                 continue
-            alive[j] = False
-            end[i] = stop
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            push(before[i])
-            push(i)
+            own[i], end[i], end[middle] = entry >> 64, stop, 0
+            if stop < n:
+                before[stop] = i
+                rank = found[piece[i : end[stop]]]
+                if rank is not None:
+                    heappush(heap, rank << 64 | i << 32 | end[stop])
+            left = before[i]
+            if left >= 0:
+                rank = found[piece[left:stop]]
+                if rank is not None:
+                    heappush(heap, rank << 64 | left << 32 | stop)
         ids, i = [], 0
         while i < n:
-            ids.append(rank(piece[i : end[i]]))
-            i = after[i]
+            ids.append(own[i])
+            i = end[i]
         return ids
 
     def encode(self, text: str) -> list[int]:
@@ -165,6 +168,24 @@ class Codec:
         return b"".join(known[i] for i in ids)
 
 
+class _Ranks(dict):
+    """Ranks of short pieces looked up before; None for what is not in the vocabulary."""
+
+    def __init__(self, codec: Codec) -> None:
+        self.codec = codec
+
+    def __missing__(self, piece: bytes) -> int | None:
+        found = self.codec.rank(piece)
+        if len(piece) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = found
+        return found
+
+    def __reduce__(self):
+        return _Ranks, (self.codec,)
+
+
 class _Remembered(dict):
     """Ids of pre-tokens as texts, by pre-token."""
 
@@ -228,29 +249,31 @@ def _decoder(known: dict[int, bytes]) -> Callable:
     return run
 
 
-def _round_trip(codec: Codec) -> Callable:
+def _round_trip(codec: Codec, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = regex.compile(codec.pattern).findall
         remembered = _Remembered(codec)
         known = {str(r): k for r, k in zip(codec.ranks, codec.keys)}
         for batch in _parts(batches):
-            counts, encoded, decoded = [], [], []
+            counts, encoded, decoded, arrays = [], [], [], []
             for text in _texts(batch.column("text")):
                 joined = " ".join(map(remembered.__getitem__, pieces(text)))
                 ids = joined.split()
                 counts.append(len(ids))
+                if with_ids:
+                    arrays.append(np.array(ids, np.int32))
                 encoded.append(hashlib.sha256(joined.encode()).hexdigest())
                 back = b"".join(map(known.__getitem__, ids))
                 decoded.append(hashlib.sha256(back).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    pa.array(counts, pa.int64()),
-                    pa.array(encoded, pa.string()),
-                    pa.array(decoded, pa.string()),
-                ],
-                names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            out = {
+                "id": batch.column("id"),
+                "n_tokens": pa.array(counts, pa.int64()),
+                "ids_sha256": pa.array(encoded, pa.string()),
+                "decoded_sha256": pa.array(decoded, pa.string()),
+            }
+            if with_ids:
+                out["ids"] = pa.array(arrays, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict(out)
 
     return run
 
@@ -287,19 +310,22 @@ def decode(encoded: DataFrame, codec: Codec, id_col: str = "doc_id", ids_col: st
     )
 
 
-def round_trip(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text"):
+def round_trip(
+    docs: DataFrame,
+    codec: Codec,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    with_ids: bool = False,
+) -> DataFrame:
     """Id, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every document.
 
-    Encodes and decodes in one pass, for checks over a whole corpus. The ids
-    are digested as decimal numbers joined by a space. Rows are treated as in
-    ``encode``.
+    Encodes and decodes in one pass; ``with_ids`` adds the ids as an array. The
+    ids are digested as decimal numbers joined by a space. Rows are treated as
+    in ``encode``.
     """
     kind = type_of(docs, id_col)
-    return (
-        _narrow(docs, id_col, text_col)
-        .mapInArrow(
-            _round_trip(codec),
-            f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string",
-        )
-        .withColumnRenamed("id", id_col)
+    columns = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    found = _narrow(docs, id_col, text_col).mapInArrow(
+        _round_trip(codec, with_ids), columns + (", ids array<int>" if with_ids else "")
     )
+    return found.withColumnRenamed("id", id_col)
