@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stayrate.llm.common import type_of
-from stayrate.session import settle, shared_dir
+from stayrate.llm.common import few_rows, type_of
+from stayrate.session import release, remove, settle, shared_dir
 
 #: Uncompressed bytes after which a task starts another archive.
 ARCHIVE_BYTES = 8 << 20
@@ -253,8 +253,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def planned_records(
     pages: DataFrame, id_col: str, url_col: str, payload_col: str, revisit_bytes: int
-) -> DataFrame:
-    """One row per page with what its record holds; payloads of revisits are left out.
+) -> tuple[DataFrame, DataFrame]:
+    """One row per page with what its record holds, and the written table it reads.
+
+    Payloads of revisits are left out.
 
     The row that stays of a group of equal payloads is found from digests, ids
     and row numbers alone; a group's payloads never meet in one task.
@@ -286,10 +288,11 @@ def planned_records(
         .where("row != first_row")
         .select("row", F.col("first_id").alias("refers_to"), F.lit("revisit").alias("kind"))
     )
-    marked = rows.join(revisits, "row", "left").withColumn(
+    marked = rows.join(few_rows(settle(revisits)), "row", "left").withColumn(
         "kind", F.coalesce("kind", F.lit("response"))
     )
-    return marked.withColumn("payload", F.when(F.col("kind") == "response", F.col("payload")))
+    payload = F.when(F.col("kind") == "response", F.col("payload"))
+    return marked.withColumn("payload", payload), rows
 
 
 def write_archives(planned: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
@@ -348,7 +351,8 @@ def read_archives(spark, path: str) -> DataFrame:
         "archive", F.col("content").cast("string").alias("text")
     )
     lines = F.expr("substring(text, 1, length(text) - 1)")  # without the separator
-    both = archives.join(indexes.withColumn("lines", lines), "archive").select("content", "lines")
+    indexes = few_rows(indexes.select("archive", lines.alias("lines")))
+    both = archives.join(indexes, "archive").select("content", "lines")
     return both.mapInArrow(
         _reader,
         "id string, uri string, payload_bytes long, payload_digest string, record_type string, "
@@ -375,10 +379,12 @@ def archive_round_trip(
     empty table gives no rows; other columns are not read.
     """
     spark, kind = pages.sparkSession, type_of(pages, id_col)
-    planned = planned_records(pages, id_col, url_col, payload_col, revisit_bytes)
+    planned, rows = planned_records(pages, id_col, url_col, payload_col, revisit_bytes)
     base = shared_dir(spark)
     write_archives(planned, f"{base}/monolithic", archive_bytes)
+    release(rows)
     normalise_archives(spark, f"{base}/monolithic", f"{base}/normalised")
+    remove(spark, f"{base}/monolithic")
     return read_archives(spark, f"{base}/normalised").select(
         F.col("id").cast(kind).alias(id_col),
         "uri",
