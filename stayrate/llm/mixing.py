@@ -117,14 +117,55 @@ def mix_sources(
     other, and one without words has target 0. An empty table gives no rows;
     other columns are not read.
     """
-    sized = settle(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.col(source_col).alias("source"),
-            word_count(text_col).alias("size"),
-            document_hash(id_col, text_col).alias("hash"),
-        )
+    sized = settle(_sized(docs, id_col, text_col, source_col))
+    facts = source_facts(sized, weights, share, most)
+    again = F.coalesce(F.col("hash") < F.col("below"), F.lit(False)).cast("long")
+    return sized.join(facts, sized["source"].eqNullSafe(facts["p"])).select(
+        F.col("id").alias(id_col),
+        "size",
+        "source_size",
+        "target",
+        (F.col("size") * (F.col("rounds") + again)).alias("taken"),
     )
+
+
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: Sequence[int] = (3, 1, 2),
+    share: float = 1.5,
+    most: float = 2.0,
+) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix of ``mix_sources`` takes it.
+
+    Texts stay where they are read; only the facts of the sources travel.
+    Documents without words are in no mix.
+    """
+    sized = settle(_sized(docs, id_col, text_col, source_col))
+    facts = source_facts(sized, weights, share, most).select("p", "rounds", "below")
+    again = F.coalesce(document_hash(id_col, text_col) < F.col("below"), F.lit(False)).cast("int")
+    times = F.col("rounds").cast("int") + again
+    joined = docs.join(facts, docs[source_col].eqNullSafe(facts["p"]))
+    taken = joined.where((word_count(text_col) > 0) & (times > 0))
+    copies = F.explode(F.array_repeat(F.lit(True), times))
+    return taken.withColumn("__copy", copies).select(*docs.columns)
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return docs.select(
+        F.col(id_col).alias("id"),
+        F.col(source_col).alias("source"),
+        word_count(text_col).alias("size"),
+        document_hash(id_col, text_col).alias("hash"),
+    )
+
+
+def source_facts(
+    sized: DataFrame, weights: Sequence[int], share: float, most: float
+) -> DataFrame:
+    """Per source ``p``: its size and target, whole rounds, and the hash threshold."""
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
     plan = settle(
         source_targets(sized, weights, share, most)
@@ -132,14 +173,6 @@ def mix_sources(
         .withColumn("extra", F.col("target") - F.col("rounds") * F.col("source_size"))
     )
     below = _thresholds(sized, plan)
-    facts = plan.join(below, plan["source"].eqNullSafe(below["s"]), "left").select(
+    return plan.join(below, plan["source"].eqNullSafe(below["s"]), "left").select(
         F.col("source").alias("p"), "source_size", "target", "rounds", "below"
     )
-    again = F.coalesce(F.col("hash") < F.col("below"), F.lit(False)).cast("long")
-    return sized.join(facts, sized["source"].eqNullSafe(facts["p"])).select(
-        F.col("id").alias(id_col),
-        "size",
-        "source_size",
-        "target",
-        (F.col("size") * (F.col("rounds") + again)).alias("taken"),
-    )

@@ -102,11 +102,12 @@ def _sign(width: int) -> Callable:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
+                    batch.column("k"),
                     pa.array(sizes, pa.int64()),
                     pa.array(keys, pa.binary()),
                     pa.array(signatures, pa.binary()),
                 ],
-                names=["id", "n_shingles", "set_key", "signature"],
+                names=["id", "k", "n_shingles", "set_key", "signature"],
             )
 
     return run
@@ -311,7 +312,7 @@ def near_components(
     width: int = 5,
     percent: int = 80,
 ) -> DataFrame:
-    """One row per document: id, ``n_shingles``, ``component_id``, ``kept``.
+    """One row per document: id, ``n_shingles``, ``component_id``, ``kept``, ``text_hash``.
 
     Texts are lower-cased (A-Z) and split into words at ASCII white space; a
     document's set holds its distinct shingles of ``width`` words, with fewer
@@ -326,10 +327,11 @@ def near_components(
     table gives no rows; other columns are not read.
     """
     kind = type_of(docs, id_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("k"), text.alias("text"))
     signed = settle(
         rows.mapInArrow(
-            _sign(width), f"id {kind}, n_shingles long, set_key binary, signature binary"
+            _sign(width), f"id {kind}, k long, n_shingles long, set_key binary, signature binary"
         )
     )
     classes = settle(
@@ -423,11 +425,30 @@ def _labelled(
     named = joined.withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     keys = named.select("set_key", "component").join(least, "component").drop("component")
-    found = signed.select("id", "n_shingles", "set_key").join(keys, "set_key", "left")
+    found = signed.select("id", "k", "n_shingles", "set_key").join(keys, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     return found.select(
         F.col("id").alias(id_col),
         "n_shingles",
         component.alias("component_id"),
         F.col("id").eqNullSafe(component).alias("kept"),
+        F.col("k").alias("text_hash"),
     )
+
+
+def without_near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    percent: int = 80,
+) -> DataFrame:
+    """The rows of ``docs`` that ``near_components`` keeps, all columns as they are."""
+    found = near_components(docs, id_col, text_col, width, percent)
+    gone = found.where("not kept").select(
+        F.col(id_col).alias("__id"), F.col("text_hash").alias("__k")
+    )
+    gone = few_rows(settle(gone.distinct()))
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__k"))
+    return docs.join(gone, same, "left_anti")

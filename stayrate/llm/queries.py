@@ -67,7 +67,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return near_dedup.near_components(docs, width=3, percent=85)
+    found = near_dedup.near_components(docs, width=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP4_SQL = r"""
