@@ -23,8 +23,6 @@ from pyspark.sql import types as T
 from stayrate.operators.order_stats import quantiles
 from stayrate.schema import KEY, LABEL, STAMPS
 
-#: Distinct values a categorical column may have; its labels sit on the driver.
-MAX_CATEGORIES = 10_000
 SIDE_COLUMNS = (KEY, LABEL, "label", "fold", "weight", "copy", "is_test", *STAMPS)
 
 
@@ -87,7 +85,7 @@ def fit_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     """Most frequent value per column, the smallest on ties.
 
     Counts are grouped before the per-column pick, so no column's values meet
-    in one place. A column with too many values for an encoder is an error.
+    in one place.
     """
     if not columns:
         return {}
@@ -96,13 +94,9 @@ def fit_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
         .groupBy("column")
         .agg(
             F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"),
-            F.count("*").alias("size"),
         )
         .collect()
     )
-    wide = [r["column"] for r in rows if r["size"] > MAX_CATEGORIES]
-    if wide:
-        raise ValueError(f"too many categories: {', '.join(wide)}")
     modes = {r["column"]: r["mode"] for r in rows}
     return {c: modes.get(c, "missing") for c in columns}
 
@@ -132,6 +126,7 @@ def fit_one_hot(df: DataFrame, columns: Sequence[str], prefix: str = "") -> Pipe
 
     Categories are in alphabetical order and none is left out; the indexer's
     slot for unseen values is the one the encoder drops, so these are all zeros.
+    The driver holds every category of the columns, as the fitted model does.
     """
     indexer = StringIndexer(
         inputCols=[f"{prefix}{c}" for c in columns],

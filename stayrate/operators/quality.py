@@ -140,7 +140,9 @@ def quality_report(df: DataFrame, expected: Sequence[str] = ACCOUNT_COLUMNS) ->
 
 # --- typed rows -----------------------------------------------------------
 
-_WHOLE = ("SeniorCitizen", "tenure")
+#: Whole numbers with the limits of their declared types; as doubles, the upper
+#: limit of a long is the first number beyond it.
+_WHOLE = {"SeniorCitizen": ("int", -(2.0**31), 2.0**31), "tenure": ("long", -(2.0**63), 2.0**63)}
 _FRACTION = ("MonthlyCharges", "TotalCharges")
 _NOT_NEGATIVE = ("tenure", "MonthlyCharges", "TotalCharges")
 
@@ -152,14 +154,16 @@ def _number(column: str) -> Column:
 def rejection_reason(columns: Sequence[str]) -> Column:
     """First reason a row of text fields is unacceptable, or NULL.
 
-    Fields are optional; those given must have the declared type, and tenure
-    and charges must not be negative.
+    Fields are optional; those given must have the declared type and fit it, and
+    tenure and charges must not be negative.
     """
     reasons = []
     for c in columns:
         given = F.col(c).isNotNull()
         if c in _WHOLE:
-            whole = F.trim(c).rlike(NUMBER_PATTERN) & (_number(c) % 1 == 0)
+            _, low, high = _WHOLE[c]
+            fits = (_number(c) >= low) & (_number(c) < high)
+            whole = F.trim(c).rlike(NUMBER_PATTERN) & (_number(c) % 1 == 0) & fits
             reasons.append(
                 F.when(given & ~F.coalesce(whole, F.lit(False)), f"{c}: not a whole number")
             )
@@ -176,8 +180,8 @@ def check_rows(df: DataFrame) -> DataFrame:
 
 
 def typed_rows(df: DataFrame) -> DataFrame:
-    """Cast acceptable text rows to the declared types."""
-    casts = {c: _number(c).cast("long" if c == "tenure" else "int") for c in _WHOLE}
+    """Cast acceptable text rows to the declared types; what does not fit becomes NULL."""
+    casts = {c: _number(c).try_cast(kind) for c, (kind, _, _) in _WHOLE.items()}
     casts |= {c: _number(c) for c in _FRACTION}
     return df.withColumns({c: e for c, e in casts.items() if c in df.columns})
 

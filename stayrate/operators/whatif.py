@@ -32,8 +32,8 @@ KINDS = (
     "f",
 )
 FEW_VALUES = 10
-#: Shares may miss 1 by this much.
-TOLERANCE = 1e-8
+#: Shares may miss 1 by this much: 1e-8, and 1e-5 of the sum.
+TOLERANCE = 1e-8 + 1e-5
 
 Change = Callable[[Column], Column]
 

@@ -199,3 +199,10 @@ def test_nan_becomes_null(spark):
     df = spark.createDataFrame([(float("nan"), "a")], "x double, y string")
     row = files.null_nans(df).first()
     assert row["x"] is None and row["y"] == "a" and not math.isnan(0.0)
+
+
+def test_numbers_beyond_their_type_are_rejected(spark):
+    rows = [("1e30", "0"), ("9223372036854775808", "0"), ("5", "3000000000"), ("5", "1")]
+    df = spark.createDataFrame(rows, "tenure string, SeniorCitizen string")
+    assert [tuple(r) for r in quality.valid_rows(df).collect()] == [(5, 1)]
+    assert quality.rejected_rows(df).count() == 3
