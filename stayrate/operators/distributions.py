@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stayrate.functions.cleaning import is_yes
 from stayrate.operators.order_stats import GATHER_LIMIT, quantiles
-from stayrate.operators.skew import bounded
+from stayrate.operators.skew import sized
 from stayrate.schema import LABEL
 
 WHISKER = 1.5
@@ -38,7 +38,7 @@ def _histogram(rows: DataFrame, ranges: DataFrame, by: str, bins: int) -> DataFr
     listed with 0.
     """
     low, high = _edges("low", "high")
-    ranges = bounded(ranges.select(by, low.alias("low"), high.alias("high")))
+    ranges = sized(ranges.select(by, low.alias("low"), high.alias("high")))
     counted = (
         rows.join(ranges, by)
         .groupBy(by, _bin(F.col("x"), F.col("low"), F.col("high"), bins).alias("bin"))
@@ -119,7 +119,7 @@ def kde(df: DataFrame, column: str, by: str, points: int = 200) -> DataFrame:
     """
     rows = _values(df, column, by)
     bandwidth = F.stddev_samp("x") * F.pow(F.count("*").cast("double"), F.lit(-0.2))
-    shape = bounded(
+    shape = sized(
         rows.groupBy(by)
         .agg(
             F.count("*").alias("total"),

@@ -7,23 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stayrate.session import settle
+
 #: A value holding at least this share of the rows is frequent; at most
 #: ``1 / HOT_SHARE`` values can be.
 HOT_SHARE = 1e-3
-#: Groups whose facts may be gathered on the driver and sent to every task.
-MAX_GROUPS = 10_000
 
 
-def bounded(facts: DataFrame, limit: int = MAX_GROUPS) -> DataFrame:
-    """``facts`` gathered and marked for broadcast; an error above ``limit`` rows.
+def sized(facts: DataFrame) -> DataFrame:
+    """``facts`` written first, so that their size is known where they are joined.
 
-    Meant for one row per group, so that the groups' rows, which may be a large
-    part of the table, stay where they are.
+    Meant for one row per group: few groups then travel to the rows, which may be
+    a large part of the table and stay where they are; many are shuffled.
     """
-    rows = facts.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} groups")
-    return F.broadcast(facts.sparkSession.createDataFrame(rows, facts.schema))
+    return settle(facts)
 
 
 def lookup_join(

@@ -6,7 +6,8 @@ from collections.abc import Mapping
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayrate.schema import KEY, STAMPS, require_columns
@@ -70,6 +71,35 @@ def new_accounts(
     return first.join(stored, key, "left_anti")
 
 
+def stored_accounts(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored table, or None where there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER" not in str(error):
+            raise
+        return None
+
+
+def append_accounts(
+    incoming: DataFrame,
+    path: str,
+    order: str,
+    key: str = KEY,
+    incoming_rows: int | None = None,
+) -> None:
+    """Append the rows that may be inserted; columns unlike the stored ones are an error."""
+    table = stored_accounts(incoming.sparkSession, path)
+    fresh = with_stamps(new_accounts(incoming, table, order, key, incoming_rows))
+    if table is not None:
+        stored = {f.name: f.dataType for f in table.schema}
+        given = {f.name: f.dataType for f in fresh.schema}
+        other = sorted(c for c in stored | given if stored.get(c) != given.get(c))
+        if other:
+            raise ValueError(f"columns unlike those stored: {', '.join(other)}")
+    fresh.write.mode("append").parquet(path)
+
+
 def ingest_accounts(
     incoming: DataFrame, path: str, order: str, key: str = KEY
 ) -> tuple[int, int]:
@@ -79,16 +109,10 @@ def ingest_accounts(
     same batch.
     """
     spark = incoming.sparkSession
-    try:
-        table = spark.read.parquet(path)
-    except Exception as error:  # no table yet
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER" not in str(error):
-            raise
-        table = None
+    table = stored_accounts(spark, path)
     before = table.count() if table is not None else 0
     total = incoming.count()
-    fresh = with_stamps(new_accounts(incoming, table, order, key, total))
-    fresh.write.mode("append").parquet(path)
+    append_accounts(incoming, path, order, key, total)
     inserted = spark.read.parquet(path).count() - before
     return inserted, total - inserted
 

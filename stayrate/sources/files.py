@@ -21,20 +21,41 @@ def null_nans(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.nanvl(F.col(c), F.lit(None)) for c in floats})
 
 
+#: How account files are written: a header row, and text as it stands. A file whose
+#: header differs from the schema it is read with is an error.
+CSV_OPTIONS = {
+    "header": True,
+    "enforceSchema": False,
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
+def header_schema(spark: SparkSession, path: str, schema: T.StructType) -> T.StructType:
+    """``schema`` in the order of the header row; other columns there are text.
+
+    A column that the header lacks is an error.
+    """
+    header = spark.read.options(**CSV_OPTIONS).csv(path).columns
+    absent = [c for c in schema.names if c not in header]
+    if absent:
+        raise ValueError(f"columns not found: {', '.join(absent)}")
+    return T.StructType(
+        [schema[c] if c in schema.names else T.StructField(c, T.StringType()) for c in header]
+    )
+
+
 def scan_csv(
     spark: SparkSession, path: str, schema: T.StructType = ACCOUNT_SCHEMA
 ) -> DataFrame:
-    """CSV with a header row under a declared schema; a missing path is an error.
+    """CSV with a header row, its columns taken by name; a missing path is an error.
 
-    Text is read as it stands: a blank total is a blank, not NULL.
+    Text is read as it stands: a blank total is a blank, not NULL. All files of a
+    folder must have the same header.
     """
-    return null_nans(
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+    named = header_schema(spark, path, schema)
+    rows = spark.read.schema(named).options(**CSV_OPTIONS).csv(path)
+    return null_nans(rows.select(*schema.names))
 
 
 def scan_all(spark: SparkSession, path: str) -> DataFrame:

@@ -2,77 +2,92 @@
 
 from __future__ import annotations
 
+from threading import Event
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stayrate.operators.quality import valid_rows
+from stayrate.operators.quality import rejected_rows, valid_rows
 from stayrate.operators.scoring import Scorer, score_batch, scorecard
-from stayrate.operators.table import new_accounts, with_stamps
+from stayrate.operators.table import append_accounts
 from stayrate.schema import KEY, TEXT_SCHEMA
 from stayrate.session import shared_dir
 from stayrate.sources.accounts import load_accounts
+from stayrate.sources.files import CSV_OPTIONS, header_schema
 
 
 def read_accounts(
     spark: SparkSession, path: str, files_per_batch: int | None = None
 ) -> DataFrame:
-    """Stream of CSV account files, every field as text until it is checked."""
-    reader = spark.readStream.schema(TEXT_SCHEMA).option("header", True)
+    """Stream of CSV account files, every field as text until it is checked.
+
+    Columns are taken by the names in the header of the files there at the start;
+    with none there, the files to come must have the declared order. A file with
+    another header ends the stream with an error.
+    """
+    try:
+        schema = header_schema(spark, path, TEXT_SCHEMA)
+    except AnalysisException as error:  # no file yet
+        if "UNABLE_TO_INFER" not in str(error):
+            raise
+        schema = TEXT_SCHEMA
+    reader = spark.readStream.schema(schema).options(**CSV_OPTIONS)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.option("ignoreTrailingWhiteSpace", False).option(
-        "ignoreLeadingWhiteSpace", False
-    ).csv(path)
-
-
-def _batch_path(path: str, batch_id: int) -> str:
-    """One folder per batch, overwritten when the batch is run again."""
-    return f"{path}/batch={batch_id}"
+    return reader.csv(path).select(*TEXT_SCHEMA.names)
 
 
 def stream_score(
-    arriving: DataFrame, scorer: Scorer, path: str, checkpoint: str, **trigger
+    arriving: DataFrame,
+    scorer: Scorer,
+    path: str,
+    checkpoint: str,
+    rejected: str | None = None,
+    **trigger,
 ) -> StreamingQuery:
     """Append predictions for valid arriving rows, stamped and keyed by batch.
 
-    Totals that are blank count as missing rather than wrong.
+    Totals that are blank count as missing rather than wrong. Rows that are not
+    valid go to ``rejected``, by default beside ``path``, with the reason. A batch
+    is named by the checkpoint's query and its number: run again it replaces
+    itself, and a fresh checkpoint replaces nothing.
     """
+    rejected = rejected or f"{path.rstrip('/')}_rejected"
+    started = Event()
     blank = F.trim("TotalCharges") == ""
     given = arriving.withColumn("TotalCharges", F.when(~blank, F.col("TotalCharges")))
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        started.wait()
+        folder = f"batch={query.id}-{batch_id}"
         predictions = score_batch(valid_rows(batch), scorer)
-        predictions.withColumn("timestamp", F.current_timestamp()).write.mode(
-            "overwrite"
-        ).parquet(_batch_path(path, batch_id))
+        for rows, target in ((predictions, path), (rejected_rows(batch), rejected)):
+            stamped = rows.withColumn("timestamp", F.current_timestamp())
+            stamped.write.mode("overwrite").parquet(f"{target}/{folder}")
 
-    return (
+    query = (
         given.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
-
-
-def stored_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Keys inserted by earlier batches; a batch run again does not see itself."""
-    if batch_id == 0:
-        return None
-    table = spark.read.option("basePath", path).schema(f"{KEY} string, batch long")
-    return table.parquet(path).where(F.col("batch") < batch_id).select(KEY)
+    started.set()
+    return query
 
 
 def stream_ingest(
     arriving: DataFrame, order: str, path: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
-    """Insert arriving rows whose key is new, first by ``order`` within a batch."""
+    """Insert arriving rows whose key is new, first by ``order`` within a batch.
+
+    The table is the one ``ingest_accounts`` keeps. Every batch looks at all keys
+    stored by then, so a batch run again inserts only what is not there yet.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        stored = stored_before(batch.sparkSession, path, batch_id)
-        rows = None if stored is None else batch.count()
-        fresh = new_accounts(batch, stored, order, incoming_rows=rows)
-        with_stamps(fresh).write.mode("overwrite").parquet(_batch_path(path, batch_id))
+        append_accounts(batch, path, order, incoming_rows=batch.count())
 
     return (
         arriving.writeStream.foreachBatch(write)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stayrate.functions.significance import chi_square_tail, t_tail
 from stayrate.operators import association, distributions, order_stats, running, segments
-from stayrate.operators.skew import bounded, lookup_join
+from stayrate.operators.skew import lookup_join
 
 QUICK = settings(
     max_examples=8,
@@ -83,9 +83,11 @@ def test_lookup_join_equals_left_join(spark):
     )
 
 
-def test_too_many_groups_are_an_error(spark):
-    with pytest.raises(ValueError, match="more than 5"):
-        bounded(spark.range(6), 5)
+def test_histogram_of_many_groups(spark):
+    ids = spark.range(20_000)
+    rows = ids.select(F.col("id").alias("g"), F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("x"))
+    found = distributions.histogram_by_class(rows, "x", "g", bins=2)
+    assert found.count() == 40_000 and found.where("n != 1").isEmpty()
 
 
 def _accounts(spark, rows):

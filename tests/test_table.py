@@ -170,6 +170,13 @@ def test_streamed_scores_equal_batch_scores(spark, small, tmp_path):
     assert streamed.select("batch").distinct().count() == 3
     wanted = scoring.score_batch(accounts, scoring.scorecard)
     assert sorted(streamed.drop("timestamp", "batch").collect()) == sorted(wanted.collect())
+    rejected = spark.read.parquet(f"{target}_rejected")
+    assert rejected.count() == 3 and "customerID" in rejected.columns
+    # A fresh checkpoint adds to the target and replaces nothing there.
+    streams.stream_score(
+        streams.read_accounts(spark, source), scoring.scorecard, target, f"{checkpoint}-2"
+    ).awaitTermination()
+    assert spark.read.parquet(target).count() == 2 * wanted.count()
 
 
 def test_streamed_inserts_are_unique_and_replayable(spark, small, tmp_path):
@@ -184,3 +191,30 @@ def test_streamed_inserts_are_unique_and_replayable(spark, small, tmp_path):
         streams.stream_ingest(arriving, "arrival", target, str(tmp_path / run)).awaitTermination()
         stored = spark.read.parquet(target)
         assert stored.count() == stored.select("customerID").distinct().count() == 150
+
+
+def test_streamed_inserts_join_an_ingested_table(spark, small, tmp_path):
+    accounts = load_accounts(spark, small).withColumn("arrival", F.lit(1))
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    accounts.write.parquet(source)
+    table.ingest_accounts(accounts.limit(40), target, "arrival")
+    arriving = spark.readStream.schema(accounts.schema).parquet(source)
+    streams.stream_ingest(arriving, "arrival", target, str(tmp_path / "c")).awaitTermination()
+    stored = spark.read.parquet(target)
+    assert stored.count() == stored.select("customerID").distinct().count() == 150
+    with pytest.raises(ValueError, match="tenure"):
+        table.ingest_accounts(
+            accounts.withColumn("tenure", F.lit("x")), target, "arrival"
+        )
+
+
+def test_csv_columns_are_taken_by_name(spark, small, tmp_path):
+    accounts = load_accounts(spark, small)
+    turned = accounts.select(F.lit("more").alias("extra"), *reversed(ACCOUNT_COLUMNS))
+    path = files.write_csv(turned, str(tmp_path / "turned"))
+    assert sorted(files.scan_csv(spark, path).collect()) == sorted(accounts.collect())
+    streamed = streams.read_accounts(spark, path)
+    assert streamed.columns == list(ACCOUNT_COLUMNS)
+    short = files.write_csv(accounts.drop("tenure"), str(tmp_path / "short"))
+    with pytest.raises(ValueError, match="tenure"):
+        files.scan_csv(spark, short)
