@@ -5,7 +5,7 @@ order, documents that share the first values form a region; a region that is too
 full is split by longer prefixes, as deep as it needs. Inside a region the
 documents with the longest agreement are candidates. Candidates are confirmed on
 whole shingle sets, best first, and what is already connected is not compared
-again; a last pass over the regions compares whatever still may be linked.
+again; a last pass compares whatever still may be linked inside its region.
 """
 
 from __future__ import annotations
@@ -158,99 +158,181 @@ def _agreement(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
     return found
 
 
+def _fitting(
+    sizes: np.ndarray, marks: np.ndarray, rows: slice, percent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Agreement of rows with all documents, and where a link is not ruled out."""
+    agreed = _agreement(marks[rows], marks)
+    small = np.minimum(sizes[rows, None], sizes[None, :])
+    large = np.maximum(sizes[rows, None], sizes[None, :])
+    fits = (agreed >= least_agreement(percent)) & (100 * small >= percent * large)
+    index = np.arange(rows.start, rows.stop)
+    fits[index - rows.start, index] = False
+    return agreed, fits
+
+
 def region_pairs(
-    nodes: np.ndarray,
-    sizes: np.ndarray,
-    marks: np.ndarray,
-    groups: np.ndarray | None,
-    percent: int,
+    nodes: np.ndarray, sizes: np.ndarray, marks: np.ndarray, percent: int
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, agreement) of a region's candidates, a < b.
+    """(a, b, agreement) of a region's first candidates, a < b.
 
-    Without ``groups``: every document's best neighbours, and its agreement with
-    the region's central documents. With them: all pairs from different groups.
-    Pairs whose sizes rule a link out are no candidates.
+    These are every document's best neighbours, and its agreement with the
+    region's central documents. Pairs whose sizes rule a link out are none.
     """
-    least = least_agreement(percent)
     n, out = len(nodes), []
     totals = np.zeros(n)
     for start in range(0, n, 256):
         rows = slice(start, min(start + 256, n))
-        agreed = _agreement(marks[rows], marks)
+        agreed, fits = _fitting(sizes, marks, rows, percent)
         totals[rows] = agreed.sum(axis=1, dtype=np.int64)
-        small = np.minimum(sizes[rows, None], sizes[None, :])
-        large = np.maximum(sizes[rows, None], sizes[None, :])
-        fits = (agreed >= least) & (100 * small >= percent * large)
-        index = np.arange(rows.start, rows.stop)
-        fits[index - start, index] = False
-        if groups is not None:
-            fits &= (groups[rows, None] != groups[None, :]) & (nodes[rows, None] < nodes[None, :])
-            x, y = np.nonzero(fits)
-        else:
-            ranked = np.where(fits, agreed, 0)
-            width = min(NEIGHBOURS, n)
-            top = np.argpartition(-ranked.astype(np.int16), width - 1, axis=1)[:, :width]
-            x = np.repeat(np.arange(len(index)), width)
-            y = top.ravel()
-            kept = fits[x, y]
-            x, y = x[kept], y[kept]
+        ranked = np.where(fits, agreed, 0)
+        width = min(NEIGHBOURS, n)
+        top = np.argpartition(-ranked.astype(np.int16), width - 1, axis=1)[:, :width]
+        x = np.repeat(np.arange(len(ranked)), width)
+        y = top.ravel()
+        kept = fits[x, y]
+        x, y = x[kept], y[kept]
         out.append((x + start, y, agreed[x, y]))
-    if groups is None:
-        for centre in np.argsort(-totals, kind="stable")[:CENTRES]:
-            agreed = _agreement(marks[centre : centre + 1], marks)[0]
-            small, large = np.minimum(sizes, sizes[centre]), np.maximum(sizes, sizes[centre])
-            fits = (agreed >= least) & (100 * small >= percent * large)
-            fits[centre] = False
-            y = np.flatnonzero(fits)
-            out.append((np.full(len(y), centre), y, agreed[y]))
+    for centre in np.argsort(-totals, kind="stable")[:CENTRES]:
+        agreed, fits = _fitting(sizes, marks, slice(centre, centre + 1), percent)
+        y = np.flatnonzero(fits[0])
+        out.append((np.full(len(y), centre), y, agreed[0, y]))
     x, y, agreed = (np.concatenate(part) for part in zip(*out))
     return np.minimum(nodes[x], nodes[y]), np.maximum(nodes[x], nodes[y]), agreed
 
 
+def undecided(
+    sizes: np.ndarray, marks: np.ndarray, groups: np.ndarray, percent: int
+) -> np.ndarray:
+    """Which documents of a region may be linked with one of another group."""
+    found = np.zeros(len(sizes), bool)
+    for start in range(0, len(sizes), 256):
+        rows = slice(start, min(start + 256, len(sizes)))
+        _, fits = _fitting(sizes, marks, rows, percent)
+        found[rows] = (fits & (groups[rows, None] != groups[None, :])).any(axis=1)
+    return found
+
+
+def region_links(
+    sizes: np.ndarray,
+    marks: np.ndarray,
+    groups: np.ndarray,
+    sets: list[np.ndarray],
+    percent: int,
+) -> list[tuple[int, int]]:
+    """Places of linked documents from different groups; whole sets are compared.
+
+    Groups grow together as links are found, so that no more links come out
+    than there are documents. Everything that is not ruled out is compared:
+    one document's set is marked, and counted in all later sets at once.
+    """
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    distinct, places = np.unique(np.concatenate(sets), return_inverse=True)
+    marked = np.zeros(len(distinct), bool)
+    groups, links = groups.copy(), []
+    for i in range(len(sizes) - 1):
+        _, fits = _fitting(sizes, marks, slice(i, i + 1), percent)
+        later = fits[0, i + 1 :] & (groups[i + 1 :] != groups[i])
+        if not later.any():
+            continue
+        own = places[starts[i] : starts[i] + sizes[i]]
+        marked[own] = True
+        offset = starts[i + 1]
+        both = np.add.reduceat(marked[places[offset:]], starts[i + 1 :] - offset, dtype=np.int64)
+        marked[own] = False
+        union = sizes[i] + sizes[i + 1 :] - both
+        for j in np.flatnonzero(later & (100 * both >= percent * union)) + i + 1:
+            if groups[j] != groups[i]:
+                links.append((i, j))
+                groups[groups == groups[j]] = groups[i]
+    return links
+
+
 def least_agreement(percent: int) -> int:
     """Equal values that a linked pair reaches but for one case in 100,000."""
     share = percent / 100
     return max(1, int(VALUES * share - SPREAD * (VALUES * share * (1 - share)) ** 0.5))
 
 
-def _search(percent: int, grouped: bool) -> Callable:
-    """Candidates of regions; rows come sorted by region."""
+def _by_region(columns: tuple[str, ...], solve: Callable) -> Callable:
+    """Applies ``solve`` to the rows of each region; rows come sorted by region."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         region = None
-
-        def solve() -> Iterator[pa.RecordBatch]:
-            if len(held) < 2:
-                return
-            nodes, sizes, groups, marks = zip(*held)
-            a, b, agreed = region_pairs(
-                np.array(nodes, np.int64),
-                np.array(sizes, np.int64),
-                np.frombuffer(b"".join(marks), np.uint8).reshape(len(nodes), VALUES),
-                np.array(groups, np.int64) if grouped else None,
-                percent,
-            )
-            unique = np.unique(np.stack([a, b, agreed.astype(np.int64)]), axis=1)
-            for start in range(0, unique.shape[1], 65536):
-                part = unique[:, start : start + 65536]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[0]), pa.array(part[1]), pa.array(part[2].astype(np.int32))],
-                    names=["a", "b", "agreed"],
-                )
-
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("region", "node", "n", "grp", "marks"))
-            for key, *row in zip(*columns):
+            values = (batch.column(c).to_pylist() for c in ("region", *columns))
+            for key, *row in zip(*values):
                 if key != region:
-                    yield from solve()
+                    if len(held) > 1:
+                        yield from solve(region, *zip(*held))
                     held, region = [], key
                 held.append(row)
-        yield from solve()
+        if len(held) > 1:
+            yield from solve(region, *zip(*held))
 
     return run
 
 
+def _mark_table(marks: tuple[bytes, ...]) -> np.ndarray:
+    return np.frombuffer(b"".join(marks), np.uint8).reshape(len(marks), VALUES)
+
+
+def _candidates(percent: int) -> Callable:
+    def solve(region: int, nodes: tuple, sizes: tuple, marks: tuple) -> Iterator[pa.RecordBatch]:
+        a, b, agreed = region_pairs(
+            np.array(nodes, np.int64), np.array(sizes, np.int64), _mark_table(marks), percent
+        )
+        unique = np.unique(np.stack([a, b, agreed.astype(np.int64)]), axis=1)
+        for start in range(0, unique.shape[1], 65536):
+            part = unique[:, start : start + 65536]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part[0]), pa.array(part[1]), pa.array(part[2].astype(np.int32))],
+                names=["a", "b", "agreed"],
+            )
+
+    return _by_region(("node", "n", "marks"), solve)
+
+
+def _undecided(percent: int) -> Callable:
+    def solve(
+        region: int, nodes: tuple, sizes: tuple, marks: tuple, groups: tuple
+    ) -> Iterator[pa.RecordBatch]:
+        found = undecided(
+            np.array(sizes, np.int64), _mark_table(marks), np.array(groups, np.int64), percent
+        )
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(int(found.sum()), region), pa.int64()),
+                pa.array(np.array(nodes, np.int64)[found]),
+                pa.array(np.array(groups, np.int64)[found]),
+            ],
+            names=["region", "node", "grp"],
+        )
+
+    return _by_region(("node", "n", "marks", "grp"), solve)
+
+
+def _linked(percent: int) -> Callable:
+    def solve(
+        region: int, nodes: tuple, sizes: tuple, marks: tuple, groups: tuple, sets: tuple
+    ) -> Iterator[pa.RecordBatch]:
+        links = region_links(
+            np.array(sizes, np.int64),
+            _mark_table(marks),
+            np.array(groups, np.int64),
+            [np.frombuffer(s, np.uint64) for s in sets],
+            percent,
+        )
+        ends = [sorted((nodes[i], nodes[j])) for i, j in links]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([e[0] for e in ends], pa.int64()), pa.array([e[1] for e in ends], pa.int64())],
+            names=["a", "b"],
+        )
+
+    return _by_region(("node", "n", "marks", "grp", "shingles"), solve)
+
+
 def _prefix(order: Column, depth: int) -> Column:
     """The first values of the signature read from the order's place on."""
     twice = F.concat("signature", "signature")
@@ -344,21 +426,14 @@ def near_components(
     marks = classes.select("node", "n", _low_bytes().alias("marks"))
     regions = settle(regions)
 
-    def search(groups: DataFrame | None) -> DataFrame:
-        rows = regions.join(marks, "node")
-        if groups is None:
-            rows = rows.withColumn("grp", F.lit(0).cast("long"))
-        else:
-            rows = rows.join(groups.select("node", F.col("component").alias("grp")), "node", "left")
-            rows = rows.withColumn("grp", F.coalesce("grp", "node"))
-        dealt = rows.repartition("region").sortWithinPartitions("region", "node")
-        found = dealt.select("region", "node", "n", "grp", "marks").mapInArrow(
-            _search(percent, groups is not None), "a long, b long, agreed int"
-        )
-        return found.groupBy("a", "b").agg(F.max("agreed").alias("agreed"))
+    def dealt(rows: DataFrame, *columns: str) -> DataFrame:
+        sorted_rows = rows.repartition("region").sortWithinPartitions("region", "node")
+        return sorted_rows.select("region", "node", "n", "marks", *columns)
 
+    placed = regions.join(marks, "node")
+    near = dealt(placed).mapInArrow(_candidates(percent), "a long, b long, agreed int")
     hubs = hub_pairs.distinct().withColumn("agreed", F.lit(0))
-    found = search(None).unionAll(hubs)
+    found = near.unionAll(hubs)
     candidates = settle(found.groupBy("a", "b").agg(F.max("agreed").alias("agreed")))
     sets = _candidate_sets(rows, classes, candidates, width)
 
@@ -383,10 +458,17 @@ def near_components(
     rest = settle(_apart(candidates, groups).join(tried, ["a", "b"], "left_anti"))
     links = links.unionAll(confirmed(rest))
     groups = settle(connected_components(links))
-    tried = tried.unionAll(rest.select("a", "b"))
-    last = settle(search(groups).join(tried, ["a", "b"], "left_anti"))
-    if not last.isEmpty():
-        groups = settle(connected_components(links.unionAll(confirmed(last))))
+    # Last, whatever else may be linked is compared where it lies: a crowd whose
+    # members resemble each other too little for a link makes no rows of pairs.
+    grouped = placed.join(groups.select("node", F.col("component").alias("grp")), "node", "left")
+    grouped = dealt(grouped.withColumn("grp", F.coalesce("grp", "node")), "grp")
+    left = settle(
+        grouped.mapInArrow(_undecided(percent), "region long, node long, grp long")
+    )
+    if not left.isEmpty():
+        whole = dealt(left.join(marks, "node").join(sets, "node"), "grp", "shingles")
+        more = settle(whole.mapInArrow(_linked(percent), "a long, b long").distinct())
+        groups = settle(connected_components(links.unionAll(more)))
     return _labelled(signed, classes, groups, id_col)
 
 

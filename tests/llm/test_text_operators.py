@@ -280,3 +280,37 @@ def test_query_equals_sql(spark, small, name):
         return sorted(map(repr, plain.astype(object).where(plain.notna(), None).values.tolist()))
 
     assert sorted(found.columns) == sorted(wanted.columns) and rows(found) == rows(wanted)
+
+
+def test_region_links_join_what_is_linked():
+    """A region's links connect exactly what all its pairs connect."""
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 1 << 62, 120).astype(np.uint64)
+    sets = []
+    for i in range(40):
+        kept = base[draw.permutation(120)[: 96 + i % 24]]
+        own = draw.integers(0, 1 << 62, i % 5).astype(np.uint64)
+        sets.append(np.unique(np.concatenate([kept, own])))
+    sizes = np.array([len(s) for s in sets])
+    marks = np.zeros((40, near_dedup.VALUES), np.uint8)  # all agree: nothing is ruled out
+    groups = np.arange(40)
+    groups[1] = 0
+    links = near_dedup.region_links(sizes, marks, groups, sets, 80)
+
+    def parts(pairs):
+        label = groups.copy()
+        for i, j in pairs:
+            label[label == label[j]] = label[i]
+        return {frozenset(np.flatnonzero(label == x).tolist()) for x in set(label.tolist())}
+
+    every = []
+    for i in range(40):
+        for j in range(i):
+            both = len(set(sets[i].tolist()) & set(sets[j].tolist()))
+            if 100 * both >= 80 * (sizes[i] + sizes[j] - both):
+                every.append((i, j))
+    assert 40 < len(every) < 780 and len(links) < 40
+    assert set(links) <= {(min(p), max(p)) for p in every}
+    assert parts(links) == parts(every)
+    open_ones = near_dedup.undecided(sizes, marks, groups, 80)
+    assert {x for pair in every for x in pair} - {0, 1} <= set(np.flatnonzero(open_ones).tolist())
