@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.llm.common import few_rows, type_of
-from stayrate.llm.components import connected_components
+from stayrate.llm.components import connected_components, partial_components
 from stayrate.session import settle
 
 #: Values of a signature; an order starts at every third.
@@ -454,7 +454,7 @@ def near_components(
     )
     tried = settle(first)
     links = confirmed(tried)
-    groups = settle(connected_components(links))
+    groups = settle(partial_components(links, 2))
     rest = settle(_apart(candidates, groups).join(tried, ["a", "b"], "left_anti"))
     links = links.unionAll(confirmed(rest))
     groups = settle(connected_components(links))
@@ -468,7 +468,8 @@ def near_components(
     if not left.isEmpty():
         whole = dealt(left.join(marks, "node").join(sets, "node"), "grp", "shingles")
         more = settle(whole.mapInArrow(_linked(percent), "a long, b long").distinct())
-        groups = settle(connected_components(links.unionAll(more)))
+        stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        groups = settle(connected_components(stars.unionAll(more)))
     return _labelled(signed, classes, groups, id_col)
 
 
