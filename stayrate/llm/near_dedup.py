@@ -5,7 +5,8 @@ order, documents that share the first values form a region; a region that is too
 full is split by longer prefixes, as deep as it needs. Inside a region the
 documents with the longest agreement are candidates. Candidates are confirmed on
 whole shingle sets, best first, and what is already connected is not compared
-again; a last pass compares whatever still may be linked inside its region.
+again; a last pass compares whatever still may be linked inside its region. What
+the split of a full region has parted is joined exactly, on rare shingles.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from stayrate.llm.common import few_rows, type_of
 from stayrate.llm.components import connected_components, partial_components
+from stayrate.operators.skew import lookup_join
 from stayrate.session import settle
 
 #: Values of a signature; an order starts at every third.
@@ -29,6 +31,10 @@ ORDERS = tuple(range(0, VALUES - STEP + 1, STEP))
 #: Prefix lengths of a region, tried in turn while it holds more documents than this.
 DEPTHS = (3, 6, 12, 24, VALUES)
 REGION = 2048
+#: Parted documents with a shingle that more of them hold are compared as a crowd.
+RARE = 16
+#: Shingles of a crowd held by at most this many documents are counted pair by pair.
+SPARSE = 32
 #: Best neighbours and central documents compared first.
 NEIGHBOURS = 2
 CENTRES = 3
@@ -248,6 +254,47 @@ def region_links(
     return links
 
 
+def crowd_links(
+    sizes: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], percent: int
+) -> list[tuple[int, int]]:
+    """Places of linked documents from different groups; nothing is ruled out by signatures.
+
+    Groups grow together as links are found, so that no more links come out
+    than there are documents.
+    """
+    n = len(sizes)
+    _, places = np.unique(np.concatenate(sets), return_inverse=True)
+    owners = np.repeat(np.arange(n), sizes)
+    order = np.argsort(places, kind="stable")
+    places, owners = places[order], owners[order]
+    held = np.bincount(places)
+    both = np.zeros((n, n), np.float32)
+    # Owners of a shingle lie side by side, in ascending order.
+    few = held[places] <= SPARSE
+    token, owner = places[few], owners[few]
+    for step in range(1, min(SPARSE, len(token))):
+        same = token[step:] == token[:-step]
+        if not same.any():
+            break
+        np.add.at(both, (owner[:-step][same], owner[step:][same]), 1)
+    number = np.cumsum(held > SPARSE) - 1
+    token, owner = number[places[~few]], owners[~few]
+    for start in range(0, int(number[-1]) + 1, 2048):
+        low, high = np.searchsorted(token, [start, start + 2048])
+        holds = np.zeros((n, 2048), np.float32)
+        holds[owner[low:high], token[low:high] - start] = 1
+        both += holds @ holds.T
+    groups, links = groups.copy(), []
+    for i in range(n - 1):
+        shared = both[i, i + 1 :].astype(np.int64)
+        linked = 100 * shared >= percent * (sizes[i] + sizes[i + 1 :] - shared)
+        for j in np.flatnonzero(linked & (groups[i + 1 :] != groups[i])) + i + 1:
+            if groups[j] != groups[i]:
+                links.append((i, j))
+                groups[groups == groups[j]] = groups[i]
+    return links
+
+
 def least_agreement(percent: int) -> int:
     """Equal values that a linked pair reaches but for one case in 100,000."""
     share = percent / 100
@@ -333,18 +380,47 @@ def _linked(percent: int) -> Callable:
     return _by_region(("node", "n", "marks", "grp", "shingles"), solve)
 
 
+def _crowd_linked(percent: int) -> Callable:
+    def solve(region: int, nodes: tuple, groups: tuple, sets: tuple) -> Iterator[pa.RecordBatch]:
+        found = [np.frombuffer(s, np.uint64) for s in sets]
+        sizes = np.array([len(s) for s in found], np.int64)
+        links = crowd_links(sizes, np.array(groups, np.int64), found, percent)
+        ends = [sorted((nodes[i], nodes[j])) for i, j in links]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([e[0] for e in ends], pa.int64()), pa.array([e[1] for e in ends], pa.int64())],
+            names=["a", "b"],
+        )
+
+    return _by_region(("node", "grp", "shingles"), solve)
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per shingle of every set."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 512):
+            part = batch.slice(start, 512)
+            found = [np.frombuffer(s.as_py(), np.int64) for s in part.column("shingles")]
+            sizes = [len(f) for f in found]
+            columns = [np.repeat(part.column(c).to_numpy(), sizes) for c in ("node", "grp")]
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, columns), pa.array(np.concatenate(found))],
+                names=["node", "grp", "shingle"],
+            )
+
+
 def _prefix(order: Column, depth: int) -> Column:
     """The first values of the signature read from the order's place on."""
     twice = F.concat("signature", "signature")
     return F.xxhash64(order, F.lit(depth), twice.substr(4 * order + 1, F.lit(4 * depth)))
 
 
-def _regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(region, node) of regions with two documents and more, and (a, b) of hubs.
+def _regions(classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(region, node) of regions with two documents and more, (a, b) of hubs, parted nodes.
 
     Where a region is split by depth, all its documents are also candidates with
-    its hub, the set that most documents have, so that what a longer prefix
-    parts can still be linked.
+    its hub, the set that most documents have, which connects most of what a
+    longer prefix parts. Two documents that meet in no region here, but would
+    without the split, are both among the parted nodes.
     """
     rows = classes.select(
         "node", "docs", "signature", F.explode(F.array(*map(F.lit, ORDERS))).alias("order")
@@ -378,8 +454,9 @@ def _regions(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         regions = regions.unionAll(more)
     for more in hubs[1:]:
         pairs = pairs.unionAll(more)
+    parted = hubs[0].select(F.col("a").alias("node")).distinct()
     pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return regions, pairs
+    return regions, pairs, parted
 
 
 def _low_bytes() -> Column:
@@ -422,7 +499,8 @@ def near_components(
         .agg(F.min("id").alias("first_id"), F.count("*").alias("docs"))
         .withColumn("node", F.monotonically_increasing_id())
     )
-    regions, hub_pairs = _regions(classes)
+    regions, hub_pairs, parted = _regions(classes)
+    parted = settle(parted)
     marks = classes.select("node", "n", _low_bytes().alias("marks"))
     regions = settle(regions)
 
@@ -470,9 +548,98 @@ def near_components(
         more = settle(whole.mapInArrow(_linked(percent), "a long, b long").distinct())
         stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
         groups = settle(connected_components(stars.unionAll(more)))
+    if not parted.isEmpty():
+        more = _parted_links(parted.join(sets, "node"), groups, percent, confirmed)
+        stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        groups = settle(connected_components(settle(stars.unionAll(more))))
     return _labelled(signed, classes, groups, id_col)
 
 
+def _parted_links(
+    sets: DataFrame, groups: DataFrame, percent: int, confirmed: Callable
+) -> DataFrame:
+    """Links between different groups of these nodes, by an exact join on whole sets.
+
+    Shingles are ordered: first those in one group only, then by how many nodes
+    hold them. Linked sets share one of their first ``n - percent n + 1``
+    shingles, and one that several groups hold. Holders of a rare shingle are
+    compared in pairs. Nodes connected through others form crowds; a crowd is
+    dealt to shares, and each two shares meet in one task.
+    """
+    named = groups.select("node", F.col("component").alias("grp"))
+    held = settle(
+        sets.join(named, "node", "left").select(
+            "node", F.coalesce("grp", "node").alias("grp"), "shingles"
+        )
+    )
+    rows = settle(held.mapInArrow(_shingles, "node long, grp long, shingle long"))
+    facts = settle(
+        rows.groupBy("shingle")
+        .agg(F.count("*").alias("held"), F.min("grp").alias("low"), F.max("grp").alias("high"))
+        .where("low < high")
+        .select("shingle", "held", F.col("held").alias("holders"))
+    )
+    total = F.lit(max(rows.count(), 1))
+    shared = lookup_join(rows, facts, ["shingle"], "held", total).where("holders IS NOT NULL")
+    size = F.floor(F.length("shingles") / 8).cast("long").alias("n")
+    first = (
+        shared.groupBy("node")
+        .agg(F.sort_array(F.collect_list(F.struct("holders", "shingle"))).alias("all"))
+        .join(held.select("node", "grp", size), "node")
+        .withColumn("least", F.expr(f"cast((n * {percent}L + 99) div 100 as int)"))
+        # Those in one group only come first: n - size(all) of them.
+        .withColumn("places", F.expr("size(all) - least + 1"))
+        .where("places > 0")
+        .select("node", "grp", "n", F.explode(F.expr("slice(all, 1, places)")).alias("s"))
+        .select("node", "grp", "n", "s.shingle", "s.holders")
+    )
+    first = settle(first)
+    rare = first.where(F.col("holders") <= RARE)
+    one = rare.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("node", "grp", "n")))
+    other = rare.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("node", "grp", "n")))
+    fits = (
+        (F.col("node_a") < F.col("node_b"))
+        & (F.col("grp_a") != F.col("grp_b"))
+        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    )
+    pairs = one.join(other, "shingle").where(fits)
+    pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    links = confirmed(settle(pairs))
+    common = first.where(F.col("holders") > RARE)
+    if common.isEmpty():
+        return links
+    leasts = settle(
+        common.groupBy("shingle").agg(
+            F.min("node").alias("b"), F.count("*").alias("held")
+        )
+    )
+    edges = lookup_join(common.select("shingle", "node"), leasts, ["shingle"], "held", total)
+    edges = settle(edges.select(F.col("node").alias("a"), "b").distinct())
+    # A node of its own crowd has no other to be compared with.
+    crowds = connected_components(edges).select("node", F.col("component").alias("crowd"))
+    crowded = settle(crowds.join(held, "node"))
+    several = crowded.groupBy("crowd").agg(
+        F.count("*").alias("held"), F.min("grp").alias("low"), F.max("grp").alias("high")
+    )
+    several = settle(several.where("low < high").select("crowd", "held", F.col("held").alias("m")))
+    shares = F.ceil(F.col("m") / REGION).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")
+    met = (
+        lookup_join(crowded, several, ["crowd"], "held", F.lit(max(crowded.count(), 1)))
+        .where("m IS NOT NULL")
+        .withColumn("shares", shares)
+        .withColumn("own", own)
+        .withColumn("share", F.explode(F.expr("sequence(0, shares - 1)")))
+        # Of several shares each meets the others; its own rows meet there too.
+        .where("shares = 1 OR own != share")
+        .withColumn("region", F.xxhash64("crowd", F.least("own", "share"), F.greatest("own", "share")))
+    )
+    met = met.select("region", "node", "grp", "shingles")
+    met = met.repartition("region").sortWithinPartitions("region", "node")
+    more = settle(met.mapInArrow(_crowd_linked(percent), "a long, b long").distinct())
+    return links.unionAll(more)
+
+
 def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs whose ends lie in different groups."""
     ga = groups.select(F.col("node").alias("a"), F.col("component").alias("ga"))

@@ -314,3 +314,59 @@ def test_region_links_join_what_is_linked():
     assert parts(links) == parts(every)
     open_ones = near_dedup.undecided(sizes, marks, groups, 80)
     assert {x for pair in every for x in pair} - {0, 1} <= set(np.flatnonzero(open_ones).tolist())
+
+
+def _template_crowd():
+    """Pairs linked with each other, in a crowd whose template alone links nobody."""
+    draw, texts = random.Random(5), []
+    template = [f"t{i}" for i in range(540)]
+    for pair in range(120):
+        own = [f"o{pair}_{i}" for i in range(24)]
+        for copy in range(2):
+            texts.append(" ".join(template + own + [f"c{pair}_{copy}_{i}" for i in range(44)]))
+    draw.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("rare", [1, 16])
+def test_near_components_of_a_split_region(documents, monkeypatch, rare):
+    """Linked pairs that only meet in regions beyond the cap keep their links."""
+    monkeypatch.setattr(near_dedup, "REGION", 4)
+    monkeypatch.setattr(near_dedup, "RARE", rare, raising=False)
+    texts = _template_crowd()
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    wanted = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x & sets[j])
+            if 100 * both >= 85 * (len(x) + len(sets[j]) - both):
+                wanted[i] = j
+    assert sum(w != i for i, w in enumerate(wanted)) == 120
+    found = near_dedup.near_components(documents(list(enumerate(texts))), percent=85).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(wanted))
+
+
+def test_crowd_links_join_what_is_linked(monkeypatch):
+    """Counts of frequent and of rare shingles give the same, exact links."""
+    draw = np.random.default_rng(8)
+    base = np.arange(1000, 1120, dtype=np.uint64)
+    sets = [np.sort(draw.choice(base, 60 + 2 * i, replace=False)) for i in range(28)]
+    sizes, groups = np.array([len(s) for s in sets]), np.arange(28)
+    every = []
+    for i in range(28):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (sizes[i] + sizes[j] - both):
+                every.append((j, i))
+
+    def parts(pairs):
+        label = groups.copy()
+        for i, j in pairs:
+            label[label == label[j]] = label[i]
+        return {frozenset(np.flatnonzero(label == x).tolist()) for x in set(label.tolist())}
+
+    assert 0 < len(every) < 378
+    for most in (1, 20, 40):
+        monkeypatch.setattr(near_dedup, "SPARSE", most)
+        links = near_dedup.crowd_links(sizes, groups, sets, 80)
+        assert set(links) <= set(every) and parts(links) == parts(every)
