@@ -51,17 +51,18 @@ def _matrix(column: pd.Series) -> np.ndarray:
 
 
 def choose_pivots(data: DataFrame, n: int) -> np.ndarray:
-    """About one point per cell wanted, picked by hash, as rows of a matrix.
+    """About one point per cell wanted, picked by hash alone, as rows of a matrix.
 
-    Each task keeps its own few picks; nothing is sorted or merged on the driver.
+    The picks do not depend on how the rows are laid out.
     """
     wanted = min(MAX_PIVOTS, max(1, n // POINTS_PER_CELL))
-    if wanted == 1:
-        rows = data.select("vid", "vec").limit(1).collect()
-    else:
+    rows = []
+    if wanted > 1:
         picked = data.where(hash_share("vid", "pivot") < wanted / n)
-        rows = picked.select("vid", "vec").limit(2 * wanted).collect()
-    rows = rows or data.select("vid", "vec").limit(1).collect()
+        rows = picked.select("vid", "vec").collect()
+    if not rows:
+        least = data.agg(F.min("vid").alias("vid"), F.min_by("vec", "vid").alias("vec"))
+        rows = least.where("vid IS NOT NULL").collect()
     return np.array([r["vec"] for r in sorted(rows, key=lambda r: r["vid"])])
 
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,7 +29,7 @@ from stayrate.session import settle
 CLASSES = (0, 1)
 #: Synthetic rows one task makes from one point before the work is spread.
 CHUNK = 10_000
-#: Most centroids fitted as one model; their centres sit on the driver.
+#: Most centres fitted in one block.
 MAX_CENTROIDS = 1_000
 
 
@@ -315,30 +314,24 @@ def cluster_centroids(
 ) -> DataFrame:
     """Replace the majority by as many cluster centres as the ratio asks for.
 
-    Up to ``MAX_CENTROIDS`` centres are one k-means model. More are fitted in
-    bounded blocks of nearby rows, each with its share of the centres, so the
-    number of centres may grow with the data.
+    Centres are fitted in bounded blocks of nearby rows, each with its share of
+    the centres, so their number may grow with the data. The same rows give the
+    same centres however they are laid out.
     """
     counts = class_counts(df, "label", CLASSES)
     major, wanted = kept_rows(counts, ratio, strict)
     crowd = df.where(F.col("label") == major)
-    if wanted <= MAX_CENTROIDS:
-        model = KMeans(k=max(wanted, 2), seed=seed, featuresCol="features").fit(
-            crowd.select("features")
-        )
-        centres = [(str(i), 0, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
-        made = df.sparkSession.createDataFrame(
-            centres[:wanted], "vid string, draw int, vec array<double>"
-        )
-    else:
-        made = _block_centres(_vectors(crowd, key), counts[major], wanted, seed)
+    made = _block_centres(_vectors(crowd, key), counts[major], wanted, seed)
     return _with_synthetic(df.where(F.col("label") != major), made, major, key)
 
 
 def _block_centres(rows: DataFrame, n: int, wanted: int, seed: int) -> DataFrame:
     points = rows.select(F.col("key").alias("vid"), "vec")
     cells = settle(assign_cells(points, choose_pivots(points, n)))
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1))
+    # A block is bounded in rows and in centres.
+    share = F.lit(float(wanted)) / n
+    most = F.greatest(F.col("size") / BLOCK, F.col("size") * share / MAX_CENTROIDS)
+    blocks = F.greatest(F.ceil(most), F.lit(1))
     sizes = cells.groupBy("cell").agg(F.count("*").alias("size"))
     blocked = cells.join(F.broadcast(sizes), "cell").withColumn(
         "block", F.pmod(F.xxhash64("vid"), blocks).cast("int")
@@ -351,7 +344,6 @@ def _block_centres(rows: DataFrame, n: int, wanted: int, seed: int) -> DataFrame
     upto = Window.partitionBy("cell").orderBy("block").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    share = F.lit(float(wanted)) / n
     quotas = (
         blocked.groupBy("cell", "block")
         .agg(F.count("*").alias("rows"))

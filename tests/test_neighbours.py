@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import functions as F
 
 from stayrate.operators import neighbours, synthesis
 
@@ -159,3 +160,27 @@ def test_cluster_centroids_counts(spark, imbalanced, monkeypatch):
     z = np.array([r["vec"] for r in made])
     assert (z.min(0) >= crowd.min(0) - 1e-9).all() and (z.max(0) <= crowd.max(0) + 1e-9).all()
     assert all(r["label"] == 0 for r in made)
+
+
+@pytest.mark.parametrize("per_cell, ratio", [(4000, 1.0), (30, 0.5)])
+def test_cluster_centroids_ignore_the_layout(spark, imbalanced, monkeypatch, per_cell, ratio):
+    """The same rows give the same centres, with one pivot and with several."""
+    monkeypatch.setattr(neighbours, "POINTS_PER_CELL", per_cell)
+    x, label = imbalanced
+    rows = _rows(spark, x, label)
+    layouts = [rows.coalesce(1), rows.orderBy("label", F.desc("customerID")), rows.repartition(7)]
+    found = []
+    for layout in layouts:
+        _, made = _split(synthesis.cluster_centroids(layout, ratio))
+        found.append(sorted(tuple(r["vec"]) for r in made))
+    assert len(found[0]) == 30 / ratio
+    assert found[0] == found[1] == found[2]
+
+
+@pytest.mark.parametrize("per_cell", [4000, 30])
+def test_pivots_ignore_the_layout(spark, imbalanced, monkeypatch, per_cell):
+    monkeypatch.setattr(neighbours, "POINTS_PER_CELL", per_cell)
+    points = _points(spark, imbalanced[0])
+    layouts = [points, points.orderBy(F.desc("vid")), points.repartition(7)]
+    first, *others = [neighbours.choose_pivots(p, 120).tolist() for p in layouts]
+    assert all(o == first for o in others)
