@@ -1,6 +1,7 @@
 """Registered queries: synthetic rebalancing, training, search and models.
 
-Tree counts and search sizes are small here; the rows are always all of them.
+Tree counts, search sizes, folds and families are those of the stored sets and of
+the reference; the rows are always all of them.
 """
 
 from __future__ import annotations
@@ -16,15 +17,15 @@ from stayrate.plans.explore_queries import featured, labelled
 from stayrate.plans.oracle_views import ACCOUNTS, SCORED
 from stayrate.plans.registry import Query, rounds
 from stayrate.plans.score_queries import OUTCOME
-from stayrate.plans.settings import STORED
+from stayrate.plans.settings import BOUNDED, FAMILIES, STORED, family_grid
 from stayrate.schema import KEY
 from stayrate.session import settle, shared_dir
 from stayrate.sources import files
 from stayrate.sources.accounts import load_accounts
 from stayrate.streaming import accounts as streams
 
-TREES = 10
-STUMPS = {"classifier__n_estimators": TREES, "classifier__max_depth": 4}
+#: Settings and folds of a random search, and of a bounded one.
+RANDOM, BOUNDED_DRAWS, FOLDS = 20, 50, 5
 
 
 def _rows(spark, sf_dir):
@@ -65,70 +66,43 @@ def _fitted(family, setting):
     return run
 
 
-def _small(setting):
-    return {
-        **setting,
-        **({"classifier__n_estimators": TREES} if "classifier__n_estimators" in setting else {}),
-    }
-
-
-_GIVEN = {family: _small(setting) for family, setting in STORED.items()}
-_GRIDS = {
-    "logistic": [
-        {"classifier__C": [0.01, 0.1, 1], "resampler": ["none", "oversample"]},
-        {"classifier__C": [0.1, 1], "classifier__penalty": ["l1"], "resampler": ["undersample"]},
-    ],
-    "random_forest": [
-        {"classifier__n_estimators": [TREES], "classifier__max_depth": [4, 6]},
-    ],
-}
-
-
 def _random_search(spark, sf_dir):
     metrics, _ = search.random_search_cv(
-        _rows(spark, sf_dir), "logistic", 3, _GRIDS["logistic"], folds=5, parallelism=4
+        _rows(spark, sf_dir), "logistic", RANDOM, folds=FOLDS, parallelism=4
     )
     return metrics
 
 
 def _bounded_search(spark, sf_dir):
-    bounds = {
-        "resampler": ("choice", ["oversample"]),
-        "resampler__sampling_strategy": ("uniform", 0.95, 1.0),
-        "classifier__n_estimators": ("integer", 5, 10),
-        "classifier__max_depth": ("integer", 2, 5),
-        "classifier__learning_rate": ("log", 0.05, 0.2),
-    }
     metrics, _ = search.bounded_search_cv(
-        _rows(spark, sf_dir), "gradient_boosting", bounds, 2, folds=3, parallelism=4
+        _rows(spark, sf_dir),
+        "gradient_boosting",
+        BOUNDED["gradient_boosting"],
+        BOUNDED_DRAWS,
+        folds=FOLDS,
+        parallelism=4,
     )
     return metrics
 
 
 def _compare(spark, sf_dir):
     train_rows, test_rows = _parts(spark, sf_dir)
-    metrics, winner, _ = search.compare_models(train_rows, test_rows, _GRIDS, 2, folds=3)
+    grids = {family: family_grid(family) for family in FAMILIES}
+    metrics, winner, _ = search.compare_models(train_rows, test_rows, grids, RANDOM, folds=FOLDS)
     return metrics.withColumn("best", F.col("model_name") == winner)
 
 
 def _given(spark, sf_dir):
-    metrics, _ = search.train_given_params(*_parts(spark, sf_dir), _GIVEN)
-    return metrics
-
-
-def _two_metrics(spark, sf_dir):
-    train_rows, test_rows = _parts(spark, sf_dir)
-    small = {f: _GIVEN[f] for f in ("logistic", "random_forest")}
-    metrics, _ = search.train_given_params(train_rows, test_rows, small)
+    metrics, _ = search.train_given_params(*_parts(spark, sf_dir), STORED)
     return metrics
 
 
 def _best(spark, sf_dir):
-    return models.best_model(_two_metrics(spark, sf_dir))
+    return models.best_model(_given(spark, sf_dir))
 
 
 def _report(spark, sf_dir):
-    return search.training_report(_two_metrics(spark, sf_dir), shared_dir(spark))
+    return search.training_report(_given(spark, sf_dir), shared_dir(spark))
 
 
 def _refit(spark, sf_dir):
@@ -139,7 +113,7 @@ def _refit(spark, sf_dir):
 
 def _importance(spark, sf_dir):
     df = _rows(spark, sf_dir)
-    return models.feature_importance(models.train_random_forest(df, STUMPS), df)
+    return models.feature_importance(models.train_random_forest(df, STORED["random_forest"]), df)
 
 
 def _saved(spark, sf_dir):
@@ -165,20 +139,9 @@ QUERIES: dict[str, Query] = {
     "smoten": Query(_made(synthesis.smoten, 1.0, 5)),
     "cluster_centroids": Query(_made(synthesis.cluster_centroids, 1.0)),
     "train_logistic": Query(_fitted("logistic", {**STORED["logistic"], "resampler": "none"})),
-    "train_random_forest": Query(_fitted("random_forest", STUMPS)),
-    "train_gradient_boosting": Query(_fitted("gradient_boosting", STUMPS)),
-    "train_xgboost": Query(
-        _fitted(
-            "xgboost",
-            {
-                **STUMPS,
-                "classifier__subsample": 0.8,
-                "classifier__colsample_bytree": 0.8,
-                "classifier__scale_pos_weight": 1.2,
-                "resampler": "none",
-            },
-        )
-    ),
+    "train_random_forest": Query(_fitted("random_forest", STORED["random_forest"])),
+    "train_gradient_boosting": Query(_fitted("gradient_boosting", STORED["gradient_boosting"])),
+    "train_xgboost": Query(_fitted("xgboost", STORED["xgboost"])),
     "random_search_cv": Query(_random_search),
     "bounded_search_cv": Query(_bounded_search),
     "compare_models": Query(_compare),
