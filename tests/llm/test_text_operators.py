@@ -1,6 +1,7 @@
 """Operators on texts against brute force, on small documents with odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -370,3 +371,17 @@ def test_crowd_links_join_what_is_linked(monkeypatch):
         monkeypatch.setattr(near_dedup, "SPARSE", most)
         links = near_dedup.crowd_links(sizes, groups, sets, 80)
         assert set(links) <= set(every) and parts(links) == parts(every)
+
+
+@pytest.mark.parametrize("percent, forest, bound", [(80, "3e-07", "4e-06"), (85, "2e-09", "9e-06")])
+def test_stated_misses_of_near_components(percent, forest, bound):
+    """The docstring states how often a pair at the threshold is missed."""
+    share, n = percent / 100, near_dedup.VALUES
+    never_met = (1 - share ** near_dedup.DEPTHS[0]) ** len(near_dedup.ORDERS)
+    ruled_out = sum(
+        math.comb(n, k) * share**k * (1 - share) ** (n - k)
+        for k in range(near_dedup.least_agreement(percent))
+    )
+    assert (f"{never_met:.0e}", f"{ruled_out:.0e}") == (forest, bound)
+    for stated in (forest, bound):
+        assert stated.replace("e-0", "e-") in near_dedup.near_components.__doc__
