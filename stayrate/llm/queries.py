@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stayrate.llm import (
     bpe,
+    codes,
     exact_dedup,
     line_dedup,
     mixing,
@@ -225,6 +226,59 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
   FROM scored) WHERE rank <= 10
 """
 
+
+def op11_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codes.product_codes(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _assigned(parts: str, book: str) -> str:
+    """SQL: the nearest entry of every part, ties to the lower index."""
+    off = "(x[i] - c[i]) * (x[i] - c[i])"
+    return f"""
+  SELECT vec_id, p, any_value(x) AS x, min({{'d': list_sum(list_transform(
+    range(1, len(x) + 1), lambda i: {off}))::BIGINT, 'e': e}}) AS best
+  FROM {parts} JOIN {book} USING (p) GROUP BY vec_id, p"""
+
+
+def _updated(assigned: str, book: str) -> str:
+    """SQL: every entry replaced by the floor of its parts' mean."""
+    return f"""
+  SELECT p, e, coalesce(m, c) AS c FROM {book} LEFT JOIN (
+    SELECT p, e, list(v ORDER BY i) AS m FROM (
+      SELECT p, e, i, floor(sum(v) / count(*))::BIGINT AS v FROM (
+        SELECT p, best.e AS e, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS v FROM {assigned})
+      GROUP BY p, e, i) GROUP BY p, e) USING (p, e)"""
+
+
+OP11_SQL = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS (
+  SELECT vec_id, p, v[p * len(v) // 16 + 1 : (p + 1) * len(v) // 16] AS x
+  FROM kept, range(16) AS parts(p)
+), c0 AS (
+  SELECT p, e - 1 AS e, x AS c FROM (
+    SELECT *, row_number() OVER (PARTITION BY p ORDER BY vec_id) AS e FROM parts) WHERE e <= 64
+), a0 AS ({_assigned("parts", "c0")}
+), c1 AS ({_updated("a0", "c0")}
+), a1 AS ({_assigned("parts", "c1")}
+), c2 AS ({_updated("a1", "c1")}
+), a2 AS ({_assigned("parts", "c2")}
+), coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code,
+    sum(best.d)::BIGINT AS error
+  FROM a2 GROUP BY vec_id
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) FROM c2)
+    AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": Query(op1_exact_dedup, OP1_SQL),
     "op2_secrets": Query(op2_secrets),
@@ -236,4 +290,5 @@ QUERIES: dict[str, Query] = {
     "op8_byte_bpe": Query(op8_byte_bpe),
     "op9_warc": Query(op9_warc, OP9_SQL),
     "op10_exact_top_k": Query(op10_exact_top_k, OP10_SQL),
+    "op11_product_codes": Query(op11_product_codes, OP11_SQL),
 }
