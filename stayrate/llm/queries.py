@@ -12,6 +12,7 @@ from stayrate.llm import (
     line_dedup,
     mixing,
     near_dedup,
+    ngram_join,
     secrets,
     substring,
     topk,
@@ -279,6 +280,37 @@ SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS labe
 FROM coded JOIN kept USING (vec_id)
 """
 
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4
+    THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2),
+      lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS s FROM words
+), classes AS (
+  SELECT min(doc_id) AS c, s, len(s) AS n, count(*) AS docs FROM sets WHERE len(s) > 0 GROUP BY s
+), items AS (
+  SELECT c, n, docs, unnest(s) AS x FROM classes
+), links AS (
+  SELECT a.c AS a, b.c AS b, b.docs AS docs FROM items a JOIN items b ON a.x = b.x AND a.c != b.c
+  GROUP BY a.c, b.c, a.n, b.n, b.docs HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT c AS node, c AS r FROM classes
+  UNION SELECT links.b, reached.r FROM reached JOIN links ON links.a = reached.node
+), roots AS (SELECT node, min(r) AS component FROM reached GROUP BY node
+), degrees AS (SELECT a, sum(docs)::BIGINT AS degree FROM links GROUP BY a)
+SELECT doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id,
+  coalesce(docs - 1 + coalesce(degree, 0), 0)::BIGINT AS n_links
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN roots ON node = c
+LEFT JOIN degrees ON a = c
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": Query(op1_exact_dedup, OP1_SQL),
     "op2_secrets": Query(op2_secrets),
@@ -291,4 +323,5 @@ QUERIES: dict[str, Query] = {
     "op9_warc": Query(op9_warc, OP9_SQL),
     "op10_exact_top_k": Query(op10_exact_top_k, OP10_SQL),
     "op11_product_codes": Query(op11_product_codes, OP11_SQL),
+    "op13_ngram_join": Query(op13_ngram_join, OP13_SQL),
 }
