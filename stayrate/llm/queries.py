@@ -17,6 +17,7 @@ from stayrate.llm import (
     substring,
     topk,
     toxicity,
+    trie,
     warc,
 )
 from stayrate.llm.common import table
@@ -281,6 +282,55 @@ FROM coded JOIN kept USING (vec_id)
 """
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = """
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), steps AS (
+  SELECT c, count(*) AS turns, list_prepend(4294967295, flatten(list_transform(
+    string_split(c::VARCHAR, ''), lambda d: [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])))
+    AS s
+  FROM turns GROUP BY c
+), convs AS (
+  SELECT c, turns, c - c % 5 AS leader, xor(4294967295, list_reduce(s, lambda a, v:
+    CASE WHEN v >= 0 THEN xor(a, v) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 9 AS h
+  FROM steps
+), rebuilt AS (
+  SELECT k.c, t.p AS d, t.r, t.x FROM convs k JOIN turns t ON t.c = k.leader AND t.p <= k.h
+  UNION ALL
+  SELECT k.c, least(k.h, coalesce(l.turns, 0)) + t.p - k.h AS d, t.r, t.x
+  FROM convs k JOIN turns t ON t.c = k.c AND t.p > k.h LEFT JOIN convs l ON l.c = k.leader
+), paths AS (
+  SELECT c, d, strlen(x) AS bytes, md5(string_agg(md5(length(r) || ':' || r || x), '')
+    OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING)) AS k
+  FROM rebuilt
+  UNION ALL SELECT c, 0, 0, '' FROM convs
+), steps_up AS (
+  SELECT *, lag(k) OVER (PARTITION BY c ORDER BY d) AS up, lead(k) OVER (PARTITION BY c ORDER BY d)
+    AS down
+  FROM paths
+), nodes AS (
+  SELECT k, min(c) AS conv_id, min(d) AS depth, min(up) AS up, count(*) AS n_convs,
+    count(DISTINCT down) AS n_children, min(bytes) AS bytes,
+    sha256(coalesce(string_agg(CASE WHEN down IS NULL THEN c::VARCHAR END, ',' ORDER BY c), ''))
+      AS ends_sha256
+  FROM steps_up GROUP BY k
+), below AS (
+  SELECT p.k, sum((n.n_children = 0)::BIGINT) AS n_leaves,
+    sum((n.n_convs - 1) * n.bytes) AS saved_tokens
+  FROM nodes n JOIN paths p ON p.c = n.conv_id AND p.d <= n.depth GROUP BY p.k
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children,
+  b.n_leaves::BIGINT AS n_leaves, b.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.k = n.k LEFT JOIN nodes u ON u.k = n.up
+"""
+
+
 def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
@@ -323,5 +373,6 @@ QUERIES: dict[str, Query] = {
     "op9_warc": Query(op9_warc, OP9_SQL),
     "op10_exact_top_k": Query(op10_exact_top_k, OP10_SQL),
     "op11_product_codes": Query(op11_product_codes, OP11_SQL),
+    "op12_conversation_trie": Query(op12_conversation_trie, OP12_SQL),
     "op13_ngram_join": Query(op13_ngram_join, OP13_SQL),
 }
