@@ -247,8 +247,8 @@ def running_totals(rows: DataFrame, order: list[Column], sums: dict[str, int]) -
     for s, m in sums.items():
         more = F.when(F.col("leading"), F.coalesce(f"add_{s}", F.lit(0))).otherwise(0)
         total[f"run_{s}"] = (F.col(f"run_{s}") + more) % m
-    found = joined.withColumns(total).select(*kept, *runs)
-    found._settled_path = local._settled_path
+    found = settle(joined.withColumns(total).select(*kept, *runs))
+    release(local)
     return found
 
 
@@ -493,9 +493,8 @@ def conversation_trie(
     )
     turns, convs = rebuilt_turns(chosen)
     sums = {"ha": MODULUS, "hb": MODULUS, "bytes": MODULUS}
-    paths = running_totals(turns, [F.col("depth")], sums).withColumnsRenamed(
-        {"run_ha": "sa", "run_hb": "sb", "run_bytes": "w"}
-    )
+    found = running_totals(turns, [F.col("depth")], sums)
+    paths = found.withColumnsRenamed({"run_ha": "sa", "run_hb": "sb", "run_bytes": "w"})
     nodes = _nodes(paths, convs)
     edges = _edges(nodes)
     rows = paths.count()
