@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import threading
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import ExitStack, contextmanager
 
-from pyspark import StorageLevel
-from pyspark.ml import Estimator, PipelineModel
+from pyspark import SparkContext, StorageLevel
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import (
+    GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
 from pyspark.ml.param import Param, Params
@@ -33,6 +36,28 @@ from stayrate.session import settle
 CLASSES = (0, 1)
 #: Spark's deepest tree, used where no depth limit is asked for.
 DEEPEST = 30
+#: Classifier values that each family understands.
+UNDERSTOOD = {
+    "logistic": {"C", "penalty", "max_iter", "class_weight"},
+    "random_forest": {
+        "n_estimators", "max_depth", "max_features", "min_samples_leaf", "bootstrap",
+        "class_weight",
+    },
+    "gradient_boosting": {
+        "n_estimators", "learning_rate", "max_depth", "min_samples_leaf", "subsample",
+    },
+    "xgboost": {
+        "n_estimators", "learning_rate", "max_depth", "gamma", "subsample", "colsample_bytree",
+        "scale_pos_weight",
+    },
+}
+#: Values that Spark's solvers have nothing for; they are accepted and change no model.
+WITHOUT_COUNTERPART = {
+    "logistic": {"solver"},
+    "random_forest": {"min_samples_split"},
+    "gradient_boosting": {"min_samples_split"},
+    "xgboost": {"reg_alpha", "reg_lambda"},
+}
 
 
 def split_setting(setting: Mapping) -> tuple[dict, dict]:
@@ -53,10 +78,23 @@ def split_setting(setting: Mapping) -> tuple[dict, dict]:
     return parts["classifier"], {"kind": kind, **resampler}
 
 
-def resample(df: DataFrame, how: Mapping, seed: int = SEED) -> DataFrame:
+def check_values(family: str, values: Mapping) -> dict:
+    """The classifier values that change a model; an unknown name is an error."""
+    if family not in UNDERSTOOD:
+        raise ValueError(f"unknown model family: {family}")
+    unknown = set(values) - UNDERSTOOD[family] - WITHOUT_COUNTERPART[family]
+    if unknown:
+        raise ValueError(f"unknown values for {family}: {sorted(unknown)}")
+    return {name: v for name, v in values.items() if name in UNDERSTOOD[family]}
+
+
+def resample(
+    df: DataFrame, how: Mapping, seed: int = SEED, neighbours: DataFrame | None = None
+) -> DataFrame:
     """Rebalanced encoded rows ``(key, features, label)``.
 
-    Rows balanced beyond the ratio already stay as they are.
+    Rows balanced beyond the ratio already stay as they are. ``neighbours``,
+    found with at least as large a ``k``, spares SMOTE its search.
     """
     kind = how["kind"]
     ratio = how.get("sampling_strategy", 1.0)
@@ -68,7 +106,9 @@ def resample(df: DataFrame, how: Mapping, seed: int = SEED) -> DataFrame:
     drawn = {"oversample": oversample_random, "undersample": undersample_random}
     if kind in drawn:
         return drawn[kind](df, ratio, "label", KEY, seed, CLASSES, strict=False)
-    made = {"smote": synthesis.smote, "adasyn": synthesis.adasyn, "smoten": synthesis.smoten}
+    if kind == "smote":
+        return synthesis.smote(df, ratio, k, KEY, seed, strict=False, neighbours=neighbours)
+    made = {"adasyn": synthesis.adasyn, "smoten": synthesis.smoten}
     if kind in made:
         return made[kind](df, ratio, k, KEY, seed, strict=False)
     raise ValueError(f"unknown resampler: {kind}")
@@ -90,6 +130,7 @@ def _weighted(df: DataFrame, classifier: Mapping) -> DataFrame | None:
 
 def classifier_for(family: str, values: Mapping, n: int, seed: int = SEED, **columns):
     """Spark ML estimator of a family from the setting's classifier values."""
+    values = check_values(family, values)
     common = {"featuresCol": "features", "labelCol": "label", **columns}
     trees = {
         "seed": seed,
@@ -154,43 +195,192 @@ def encoded_rows(df: DataFrame) -> Iterator[tuple[PipelineModel, DataFrame]]:
         encoded.unpersist()
 
 
+def _fit_rows(family: str, classifier: Mapping, rows: DataFrame) -> Model:
+    """The family's classifier fitted on resampled rows."""
+    weighted = _weighted(rows, classifier)
+    columns = {} if weighted is None else {"weightCol": "weight"}
+    rows = rows if weighted is None else weighted
+    n = rows.count() if family == "logistic" else 0
+    return classifier_for(family, classifier, n, **columns).fit(rows)
+
+
 def fit_encoded(
     preparation: PipelineModel, encoded: DataFrame, family: str, setting: Mapping
 ) -> PipelineModel:
     """Resample encoded rows, fit the family's classifier, and join it to its preparation."""
     classifier, how = split_setting(setting)
-    rows = resample(encoded, how)
-    weighted = _weighted(rows, classifier)
-    columns = {} if weighted is None else {"weightCol": "weight"}
-    rows = rows if weighted is None else weighted
-    n = rows.count() if family == "logistic" else 0
-    model = classifier_for(family, classifier, n, **columns).fit(rows)
-    return PipelineModel([*preparation.stages, model])
+    with _kept(resample(encoded, how)) as rows:
+        return PipelineModel([*preparation.stages, _fit_rows(family, classifier, rows)])
+
+
+@contextmanager
+def _kept(rows: DataFrame) -> Iterator[DataFrame]:
+    """Rows that a solver reads many times, so that they are resampled once."""
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
+def first_trees(model: Model, n: int) -> Model:
+    """The ensemble of a tree model's first ``n`` trees.
+
+    Of a boosted model these are the model of ``n`` rounds; of a forest, a forest
+    of ``n`` trees.
+    """
+    if isinstance(model, GBTClassificationModel):
+        count = "maxIter"
+    elif isinstance(model, RandomForestClassificationModel):
+        count = "numTrees"
+    else:
+        raise TypeError(f"no trees in {type(model).__name__}")
+    java = model._java_obj
+    trees = list(java.trees())[:n]
+    if len(trees) < n:
+        raise ValueError(f"only {len(trees)} trees")
+    gateway = SparkContext._active_spark_context._gateway
+    classes = {
+        "maxIter": gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel,
+        "numTrees": gateway.jvm.org.apache.spark.ml.classification.DecisionTreeClassificationModel,
+    }
+    held = gateway.new_array(classes[count], n)
+    for i, tree in enumerate(trees):
+        held[i] = tree
+    sizes = (java.numFeatures(), java.numClasses())
+    if count == "maxIter":
+        weights = gateway.new_array(gateway.jvm.double, n)
+        for i, weight in enumerate(list(java.treeWeights())[:n]):
+            weights[i] = weight
+        made = gateway.jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+            java.uid(), held, weights, *sizes
+        )
+    else:
+        made = gateway.jvm.org.apache.spark.ml.classification.RandomForestClassificationModel(
+            java.uid(), held, *sizes
+        )
+    java.copyValues(made, java.extractParamMap())
+    made.set(count, n)
+    found = type(model)(made)
+    found._resetUid(java.uid())
+    found._transfer_params_from_java()
+    return found
+
+
+class _Shared:
+    """Something several fits use: made by the first, dropped by the last of them."""
+
+    def __init__(self, make: Callable, drop: Callable = lambda value: None):
+        self._make, self._drop = make, drop
+        self._value = None
+        self._lock = threading.Lock()
+        self.users = 0
+
+    def get(self):
+        with self._lock:
+            if self._value is None:
+                self._value = self._make()
+            return self._value
+
+    def leave(self) -> None:
+        with self._lock:
+            self.users -= 1
+            if self.users == 0 and self._value is not None:
+                self._drop(self._value)
+                self._value = None
 
 
 class _SharedFits:
-    """Iterator of ``(index, model)`` that threads may draw from at once."""
+    """Iterator of ``(index, model)`` that threads may draw from at once.
 
-    def __init__(self, fit: Callable[[int], PipelineModel], n: int, done: Callable):
-        self._fit, self._n, self._done = fit, n, done
-        self._next = self._finished = 0
+    Settings with the same resampling share its rows, and SMOTE's settings one
+    search for neighbours. Settings that differ only in their number of trees
+    share one fit with the most trees, of which each takes its first ones.
+    """
+
+    def __init__(
+        self,
+        preparation: PipelineModel,
+        encoded: DataFrame,
+        family: str,
+        settings: Sequence[Mapping],
+        done: Callable,
+    ):
+        self._preparation, self._encoded, self._family = preparation, encoded, family
+        self._done = done
         self._lock = threading.Lock()
+        self._next = self._finished = 0
+        parts = [split_setting(s) for s in settings]
+        self._values = [check_values(family, classifier) for classifier, _ in parts]
+        nearest = [how.get("k_neighbors", 5) for _, how in parts if how["kind"] == "smote"]
+        self._neighbours = _Shared(
+            lambda: synthesis.minority_neighbours(encoded, max(nearest), KEY)
+        )
+        rows: dict[str, _Shared] = {}
+        models: dict[tuple, _Shared] = {}
+        self._uses: list[tuple[_Shared, _Shared]] = []
+        names = []
+        for (_, how), values in zip(parts, self._values):
+            by_how = json.dumps(how, sort_keys=True)
+            alike = {n: v for n, v in values.items() if n != "n_estimators"}
+            name = (by_how, json.dumps(alike, sort_keys=True))
+            names.append(name)
+            if by_how not in rows:
+                rows[by_how] = self._rows(how)
+            if name not in models:
+                models[name] = self._model(rows[by_how], name, names)
+            for shared in (rows[by_how], models[name]):
+                shared.users += 1
+            self._uses.append((rows[by_how], models[name]))
+        self._names = names
+        # Settings that share something come one after the other, so that little is held.
+        self._order = sorted(range(len(parts)), key=lambda i: names[i])
+
+    def _rows(self, how: Mapping) -> _Shared:
+        def make() -> DataFrame:
+            near = self._neighbours.get() if how["kind"] == "smote" else None
+            rows = resample(self._encoded, how, neighbours=near)
+            return rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+        return _Shared(make, lambda rows: rows.unpersist())
+
+    def _model(self, rows: _Shared, name: tuple, names: list) -> _Shared:
+        def make() -> Model:
+            alike = [v for v, other in zip(self._values, names) if other == name]
+            largest = max(alike, key=lambda v: v.get("n_estimators", 100))
+            return _fit_rows(self._family, largest, rows.get())
+
+        return _Shared(make)
+
+    def fits(self) -> int:
+        """How many models are fitted for all settings."""
+        return len(set(self._names))
+
+    def _fit(self, i: int) -> PipelineModel:
+        rows, shared = self._uses[i]
+        model = shared.get()
+        n = self._values[i].get("n_estimators", 100)
+        if self._family != "logistic" and len(model.trees) > n:
+            model = first_trees(model, n)
+        shared.leave()
+        rows.leave()
+        return PipelineModel([*self._preparation.stages, model])
 
     def __iter__(self) -> _SharedFits:
         return self
 
     def __next__(self) -> tuple[int, PipelineModel]:
         with self._lock:
-            i = self._next
-            if i >= self._n:
+            if self._next >= len(self._order):
                 raise StopIteration
+            i = self._order[self._next]
             self._next += 1
         try:
             return i, self._fit(i)
         finally:
             with self._lock:
                 self._finished += 1
-                if self._finished == self._n:
+                if self._finished == len(self._order):
                     self._done()
 
 
@@ -208,21 +398,19 @@ class ChurnEstimator(Estimator):
         super().__init__()
         self._set(family=family, setting=dict(setting or {}))
 
-    def _fit_rows(self, preparation: PipelineModel, encoded: DataFrame) -> PipelineModel:
-        family, setting = self.getOrDefault(self.family), self.getOrDefault(self.setting)
-        return fit_encoded(preparation, encoded, family, setting)
-
     def _fit(self, dataset: DataFrame) -> PipelineModel:
+        family, setting = self.getOrDefault(self.family), self.getOrDefault(self.setting)
         with encoded_rows(dataset) as (preparation, encoded):
-            return self._fit_rows(preparation, encoded)
+            return fit_encoded(preparation, encoded, family, setting)
 
     def fitMultiple(self, dataset: DataFrame, paramMaps) -> _SharedFits:
         """Fit several settings on one preparation of the same rows."""
         variants = [self.copy(m) for m in paramMaps]
+        settings = [v.getOrDefault(v.setting) for v in variants]
         stack = ExitStack()
         preparation, encoded = stack.enter_context(encoded_rows(dataset))
         return _SharedFits(
-            lambda i: variants[i]._fit_rows(preparation, encoded), len(variants), stack.close
+            preparation, encoded, self.getOrDefault(self.family), settings, stack.close
         )
 
 

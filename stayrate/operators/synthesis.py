@@ -127,6 +127,19 @@ def _with_synthetic(df: DataFrame, synthetic: DataFrame, label: int, key: str) -
     return _keep(df, key).unionByName(made)
 
 
+def minority_neighbours(df: DataFrame, k: int, key: str = KEY) -> DataFrame:
+    """``vid`` and the ``k`` nearest others of every distinct minority vector.
+
+    The first of them are the neighbours for a smaller ``k``, so that one search
+    serves several runs of SMOTE on the same rows.
+    """
+    counts = class_counts(df, "label", CLASSES)
+    minor, _ = extra_rows(counts, 1.0, False)
+    rows = _vectors(df, key).where(F.col("label") == minor)
+    points = settle(_distinct(rows, F.count("*").alias("n")))
+    return nearest(points, points, k, ["n"])
+
+
 def smote(
     df: DataFrame,
     ratio: float = 1.0,
@@ -134,8 +147,13 @@ def smote(
     key: str = KEY,
     seed: int = SEED,
     strict: bool = True,
+    neighbours: DataFrame | None = None,
 ) -> DataFrame:
-    """Add minority points drawn between a point and one of its ``k`` neighbours."""
+    """Add minority points drawn between a point and one of its ``k`` neighbours.
+
+    ``neighbours`` are those of ``minority_neighbours`` on the same rows, for
+    ``k`` or more.
+    """
     counts = class_counts(df, "label", CLASSES)
     minor, extra = extra_rows(counts, ratio, strict)
     if extra == 0:
@@ -146,8 +164,9 @@ def smote(
     points = settle(
         _distinct(rows, F.count("*").alias("n"), F.sum("quota").alias("quota"))
     )
-    made = _interpolated(points, nearest(points, points, k, ["n"]), k, seed)
-    return _with_synthetic(df, made, minor, key)
+    near = nearest(points, points, k, ["n"]) if neighbours is None else neighbours
+    near = near.select("vid", F.slice("neighbours", 1, k).alias("neighbours"))
+    return _with_synthetic(df, _interpolated(points, near, k, seed), minor, key)
 
 
 def adasyn(

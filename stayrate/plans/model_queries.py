@@ -68,7 +68,7 @@ def _fitted(family, setting):
 
 def _random_search(spark, sf_dir):
     metrics, _ = search.random_search_cv(
-        _rows(spark, sf_dir), "logistic", RANDOM, folds=FOLDS, parallelism=4
+        _rows(spark, sf_dir), "logistic", RANDOM, folds=FOLDS, parallelism=8
     )
     return metrics
 
@@ -80,7 +80,7 @@ def _bounded_search(spark, sf_dir):
         BOUNDED["gradient_boosting"],
         BOUNDED_DRAWS,
         folds=FOLDS,
-        parallelism=4,
+        parallelism=8,
     )
     return metrics
 
@@ -88,7 +88,9 @@ def _bounded_search(spark, sf_dir):
 def _compare(spark, sf_dir):
     train_rows, test_rows = _parts(spark, sf_dir)
     grids = {family: family_grid(family) for family in FAMILIES}
-    metrics, winner, _ = search.compare_models(train_rows, test_rows, grids, RANDOM, folds=FOLDS)
+    metrics, winner, _ = search.compare_models(
+        train_rows, test_rows, grids, RANDOM, folds=FOLDS, parallelism=8
+    )
     return metrics.withColumn("best", F.col("model_name") == winner)
 
 
