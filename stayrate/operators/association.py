@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.functions.significance import chi_square_p_value, t_p_value
-from stayrate.operators.segments import crosstab
+from stayrate.operators.segments import crosstab_margins
 
 # The columns compared.
 CORRELATED = (
@@ -134,11 +134,10 @@ def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
     which is what the observed cells leave of the total. In a 2x2 table all
     four gaps are equal, so the largest observed one stands for them.
     """
-    cells = crosstab(df, row, column).select(
-        F.col(row).alias("r"), F.col(column).alias("c"), "n"
-    )
-    by_row = cells.groupBy("r").agg(F.sum("n").alias("row_n"))
-    by_column = cells.groupBy("c").agg(F.sum("n").alias("column_n"))
+    table = crosstab_margins(df, row, column)
+    cells = table.where("level = 0").select("r", "c", "n")
+    by_row = table.where("level = 1").select("r", F.col("n").alias("row_n"))
+    by_column = table.where("level = 2").select("c", F.col("n").alias("column_n"))
 
     def margin(totals: DataFrame, n: str):
         return totals.agg(
@@ -156,7 +155,7 @@ def chi_square(df: DataFrame, row: str, column: str) -> DataFrame:
     return (
         cells.join(by_row, "r")
         .join(by_column, "c")
-        .withColumn("total", by_row.agg(F.sum("row_n")).scalar())
+        .withColumn("total", table.where("level = 3").select("n").scalar())
         .withColumn("e", expected)
         .agg(
             F.sum(gap * gap / F.col("e")).alias("squares"),

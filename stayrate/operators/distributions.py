@@ -114,8 +114,8 @@ def histogram_density(
 def kde(df: DataFrame, column: str, by: str, points: int = 200) -> DataFrame:
     """Gaussian density per group on an even grid over the group's range.
 
-    Scott's bandwidth. Each row meets every grid point of its own group inside
-    the partial aggregation, so only grid-sized sums are shuffled.
+    Scott's bandwidth. Every grid point is a sum of the aggregate, so a row stays
+    one row and only the sums are shuffled.
     """
     rows = _values(df, column, by)
     bandwidth = F.stddev_samp("x") * F.pow(F.count("*").cast("double"), F.lit(-0.2))
@@ -129,19 +129,30 @@ def kde(df: DataFrame, column: str, by: str, points: int = 200) -> DataFrame:
         )
         .where("h > 0")
     )
-    grid_x = F.col("low") + F.col("point") * (F.col("high") - F.col("low")) / (points - 1)
-    distance = (grid_x - F.col("x")) / F.col("h")
-    return (
-        rows.join(shape, by)
-        .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-        .groupBy(by, "point")
-        .agg(
-            F.first(grid_x).alias("grid"),
-            (
-                F.sum(F.exp(-0.5 * distance * distance))
-                / (F.first("total") * F.first("h") * math.sqrt(2 * math.pi))
-            ).alias("density"),
-        )
+    # Place of the row and distance of two points of the grid, in bandwidths.
+    place = (F.col("x") - F.col("low")) / F.col("h")
+    step = (F.col("high") - F.col("low")) / (points - 1)
+    scaled = rows.join(shape, by).select(
+        by, "total", "low", "h", place.alias("place"), (step / F.col("h")).alias("step")
+    )
+
+    def bump(i: int) -> Column:
+        gap = F.col("step") * i - F.col("place")
+        return F.sum(F.exp(gap * gap * -0.5)).alias(f"s{i}")
+
+    shape_columns = ("total", "low", "h", "step")
+    sums = scaled.groupBy(by).agg(
+        *[F.first(c).alias(c) for c in shape_columns], *[bump(i) for i in range(points)]
+    )
+    scale = F.col("total") * F.col("h") * math.sqrt(2 * math.pi)
+    listed = F.array(*[F.col(f"s{i}") for i in range(points)])
+    return sums.select(
+        by, *shape_columns, F.posexplode(listed).alias("point", "mass")
+    ).select(
+        by,
+        "point",
+        (F.col("low") + F.col("point") * F.col("step") * F.col("h")).alias("grid"),
+        (F.col("mass") / scale).alias("density"),
     )
 
 

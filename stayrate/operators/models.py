@@ -6,6 +6,7 @@ import json
 import threading
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import ExitStack, contextmanager
+from functools import reduce
 
 from pyspark import SparkContext, StorageLevel
 from pyspark.ml import Estimator, Model, PipelineModel
@@ -469,6 +470,16 @@ def evaluate_model(model: PipelineModel, test: DataFrame, name: str) -> DataFram
     )
 
 
+def scored_models(models: Mapping[str, PipelineModel], test: DataFrame) -> DataFrame:
+    """Scored test rows of every model, written: ``model_name``, ``label``, ``predicted``, score."""
+    columns = ("label", "predicted", PROBABILITY)
+    parts = [
+        score_rows(model, test).select(F.lit(name).alias("model_name"), *columns)
+        for name, model in models.items()
+    ]
+    return settle(reduce(DataFrame.unionByName, parts))
+
+
 def best_model(metrics: DataFrame, metric: str = "f1", order: str = "position") -> DataFrame:
     """Row with the largest score, the earliest on ties."""
     return metrics.orderBy(F.desc(metric), order).limit(1)

@@ -160,6 +160,10 @@ def kept_rows(counts: dict, ratio: float, strict: bool = True) -> tuple[object,
     return major, min(keep, counts[major])
 
 
+#: Copies of a row that one task makes.
+CHUNK = 1000
+
+
 def oversample_random(
     df: DataFrame,
     ratio: float = 1.0,
@@ -189,7 +193,13 @@ def oversample_random(
         F.col(label) == minor,
         F.lit(whole) + _up_to(cutoffs, label, key, seed).cast("int"),
     ).otherwise(F.lit(0))
-    return df.withColumn("copy", F.explode(F.sequence(F.lit(0), last)))
+    if whole < CHUNK:
+        return df.withColumn("copy", F.explode(F.sequence(F.lit(0), last)))
+    # Runs of copies are dealt to tasks before they are made.
+    runs = F.explode(F.sequence(F.lit(0), F.col("copies"), F.lit(CHUNK)))
+    dealt = df.withColumn("copies", last).withColumn("run", runs).repartition(key, "run")
+    upto = F.least(F.col("run") + CHUNK - 1, F.col("copies"))
+    return dealt.withColumn("copy", F.explode(F.sequence("run", upto))).drop("copies", "run")
 
 
 def undersample_random(

@@ -9,12 +9,13 @@ from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayrate.functions import scoring as X
 from stayrate.operators.cleaning import clean_accounts, derive_features
 from stayrate.schema import KEY
+from stayrate.session import settle
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -63,12 +64,32 @@ def _outcome(key: str) -> list:
     ]
 
 
+def number_rows(df: DataFrame, name: str) -> DataFrame:
+    """Rows with ``name``, numbered from 0 without gaps in the order they are read.
+
+    The rows are written once, each with its place in its partition; the totals
+    of the partitions, one row each, give every partition its first number.
+    """
+    place = next(f"{name}_place{i}" for i in range(len(df.columns) + 1) if f"{name}_place{i}" not in df.columns)
+    part = F.shiftright(F.col(place), 33)
+    rows = settle(df.withColumn(place, F.monotonically_increasing_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = (
+        rows.groupBy(part.alias("part"))
+        .agg(F.count("*").alias("n"))
+        .select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    )
+    packed = rows.select(F.struct(*df.columns).alias("row"), part.alias("part"), place)
+    number = F.col("start") + F.col(place).bitwiseAND(F.lit((1 << 33) - 1))
+    return packed.join(F.broadcast(firsts), "part").select("row.*", number.alias(name))
+
+
 def _with_key(df: DataFrame, key: str) -> DataFrame:
-    """Rows without a key column get unique ids ``customer_<number>``."""
+    """Rows without a key column get ids ``customer_<number>``, consecutive from 0."""
     if key in df.columns:
         return df
-    number = F.monotonically_increasing_id().cast("string")
-    return df.withColumn(key, F.concat(F.lit("customer_"), number))
+    numbered = number_rows(df, key)
+    return numbered.withColumn(key, F.concat(F.lit("customer_"), F.col(key).cast("string")))
 
 
 def score_batch(df: DataFrame, scorer: Scorer, key: str = KEY) -> DataFrame:

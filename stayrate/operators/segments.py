@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stayrate.functions.cleaning import is_yes
 from stayrate.schema import ADDONS, LABEL, SERVICES
+from stayrate.session import settle
 
 # Tenure bands as (label, above, up to), in months.
 TENURE_BANDS = (
@@ -74,13 +75,19 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
-    """Share per non-null value, most frequent first."""
-    counts = (
-        df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    """Share per non-null value, most frequent first.
+
+    Counts and their total come from one aggregate, which is written: a row per value.
+    """
+    known = df.where(F.col(column).isNotNull())
+    counts = settle(
+        known.cube(column).agg(F.count("*").alias("n"), F.grouping(column).alias("all"))
     )
-    total = df.agg(F.count(column)).scalar()
-    return counts.select(column, (F.col("n") / total).alias("share")).orderBy(
-        F.desc("share"), column
+    total = counts.where(F.col("all") == 1).select("n").scalar()
+    return (
+        counts.where(F.col("all") == 0)
+        .select(column, (F.col("n") / total).alias("share"))
+        .orderBy(F.desc("share"), column)
     )
 
 
@@ -100,6 +107,19 @@ def label_share_pivot(
     )
 
 
+def crosstab_margins(df: DataFrame, row: str, column: str) -> DataFrame:
+    """Two-way counts ``r``, ``c``, ``n`` with the totals of rows, columns and all.
+
+    One aggregate over the rows gives them all and is written. ``level`` is 0 for a
+    cell, 1 for a row's total, 2 for a column's and 3 for the whole.
+    """
+    known = df.where(F.col(row).isNotNull() & F.col(column).isNotNull())
+    pairs = known.select(F.col(row).alias("r"), F.col(column).alias("c"))
+    return settle(
+        pairs.cube("r", "c").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
+    )
+
+
 def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
     """Two-way counts in long form; rows lacking either value are left out."""
     return (

@@ -7,16 +7,13 @@ from functools import reduce
 from operator import and_
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stayrate.schema import KEY, STAMPS, require_columns
+from stayrate.session import settle
 from stayrate.sources.files import write_csv
 
-#: Keys that may be sent to every task.
-FEW_KEYS = 1_000_000
-
-
 def lookup_account(df: DataFrame, value: str, key: str = KEY) -> DataFrame:
     """The row with this key; no row if there is none."""
     return df.where(F.col(key) == F.lit(value))
@@ -51,23 +48,19 @@ def _first_per_key(incoming: DataFrame, order: str, key: str) -> DataFrame:
 
 
 def new_accounts(
-    incoming: DataFrame,
-    table: DataFrame | None,
-    order: str,
-    key: str = KEY,
-    incoming_rows: int | None = None,
+    incoming: DataFrame, table: DataFrame | None, order: str, key: str = KEY
 ) -> DataFrame:
     """Incoming rows that may be inserted: first of their key, and not stored yet.
 
-    With ``incoming_rows`` known to be few, their keys go to the stored table,
-    which is then read but not shuffled.
+    The first rows are written, so that the incoming ones are read once and the
+    keys looked for among the stored ones have a known size: where they are few,
+    Spark sends them to the stored table, which is then not shuffled.
     """
     first = _first_per_key(incoming, order, key)
     if table is None:
         return first
-    stored = table.select(key)
-    if incoming_rows is not None and incoming_rows <= FEW_KEYS:
-        stored = stored.join(F.broadcast(first.select(key)), key, "left_semi")
+    first = settle(first)
+    stored = table.select(key).join(first.select(key), key, "left_semi")
     return first.join(stored, key, "left_anti")
 
 
@@ -86,17 +79,22 @@ def append_accounts(
     path: str,
     order: str,
     key: str = KEY,
-    incoming_rows: int | None = None,
+    inserted: Observation | None = None,
 ) -> None:
-    """Append the rows that may be inserted; columns unlike the stored ones are an error."""
+    """Append the rows that may be inserted; columns unlike the stored ones are an error.
+
+    ``inserted`` takes the number of rows written, from the write itself.
+    """
     table = stored_accounts(incoming.sparkSession, path)
-    fresh = with_stamps(new_accounts(incoming, table, order, key, incoming_rows))
+    fresh = with_stamps(new_accounts(incoming, table, order, key))
     if table is not None:
         stored = {f.name: f.dataType for f in table.schema}
         given = {f.name: f.dataType for f in fresh.schema}
         other = sorted(c for c in stored | given if stored.get(c) != given.get(c))
         if other:
             raise ValueError(f"columns unlike those stored: {', '.join(other)}")
+    if inserted is not None:
+        fresh = fresh.observe(inserted, F.count("*").alias("n"))
     fresh.write.mode("append").parquet(path)
 
 
@@ -106,15 +104,13 @@ def ingest_accounts(
     """Append new accounts to a stored Parquet table; ``(inserted, failed)``.
 
     A row fails if its key is missing, stored already, or came earlier in the
-    same batch.
+    same batch. The incoming rows are counted as they are read and the inserted
+    ones as they are written, so nobody else's rows are in the counts.
     """
-    spark = incoming.sparkSession
-    table = stored_accounts(spark, path)
-    before = table.count() if table is not None else 0
-    total = incoming.count()
-    append_accounts(incoming, path, order, key, total)
-    inserted = spark.read.parquet(path).count() - before
-    return inserted, total - inserted
+    read, inserted = Observation(), Observation()
+    counted = incoming.observe(read, F.count("*").alias("n"))
+    append_accounts(counted, path, order, key, inserted)
+    return inserted.get["n"], read.get["n"] - inserted.get["n"]
 
 
 def ingest_counts(
@@ -134,24 +130,36 @@ def update_accounts(
     order: str,
     key: str = KEY,
     now: Column | None = None,
+    supplied: str | None = None,
 ) -> DataFrame:
     """Rows with supplied fields replaced and ``updated_at`` stamped.
 
-    A NULL field is not supplied. Of several updates to one key, each field
-    takes the last supplied value by ``order``. Write the result to a new path.
+    A field is supplied if it is not NULL, or, with ``supplied``, if the list of
+    names in that column has it; then NULL is a value like any other. Of several
+    updates to one key, each field takes the last supplied value by ``order``.
+    Write the result to a new path.
     """
-    fields = [c for c in updates.columns if c not in (key, order)]
+    fields = [c for c in updates.columns if c not in (key, order, supplied)]
     require_columns(df, *fields)
     now = F.current_timestamp() if now is None else now
+
+    def given(c: str) -> Column:
+        return F.col(c).isNotNull() if supplied is None else F.array_contains(supplied, c)
+
     last = updates.groupBy(key).agg(
         *[
-            F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(order, c))).alias(f"new_{c}")
+            F.max_by(F.struct(c), F.when(given(c), F.struct(order, c))).alias(f"new_{c}")
             for c in fields
         ],
         F.lit(True).alias("hit"),
     )
     merged = df.join(last, key, "left")
-    changes = {c: F.coalesce(f"new_{c}", c).cast(df.schema[c].dataType) for c in fields}
+    changes = {
+        c: F.when(F.col(f"new_{c}").isNotNull(), F.col(f"new_{c}")[c])
+        .otherwise(F.col(c))
+        .cast(df.schema[c].dataType)
+        for c in fields
+    }
     if "updated_at" in df.columns:
         changes["updated_at"] = F.when(F.col("hit"), now).otherwise(F.col("updated_at"))
     return merged.withColumns(changes).select(*df.columns)

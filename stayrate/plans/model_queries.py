@@ -104,7 +104,9 @@ def _best(spark, sf_dir):
 
 
 def _report(spark, sf_dir):
-    return search.training_report(_given(spark, sf_dir), shared_dir(spark))
+    train_rows, test_rows = _parts(spark, sf_dir)
+    fitted = search.train_families(train_rows, STORED)
+    return search.report_models(fitted, test_rows, shared_dir(spark))
 
 
 def _refit(spark, sf_dir):
@@ -125,9 +127,12 @@ def _saved(spark, sf_dir):
 
 
 def _save_model(spark, sf_dir):
-    """What was written: one row per saved stage."""
+    """What was written: one row per saved stage, with its place."""
     path = _saved(spark, sf_dir)
-    return spark.read.json(f"{path}/stages/*/metadata").select("class", "uid")
+    stages = spark.read.json(f"{path}/stages/*/metadata").select("class", "uid")
+    place = F.regexp_extract(F.input_file_name(), r"/stages/(\d+)_", 1).cast("int")
+    kind = F.substring_index("class", ".", -1)
+    return stages.select(place.alias("position"), kind.alias("stage"))
 
 
 def _load_model(spark, sf_dir):
@@ -156,7 +161,12 @@ QUERIES: dict[str, Query] = {
         lambda s, d: models.cumulative_importance(_importance(s, d))
     ),
     "top_features": Query(lambda s, d: models.top_features(_importance(s, d))),
-    "save_model": Query(_save_model),
+    "save_model": Query(
+        _save_model,
+        """SELECT * FROM (VALUES (0, 'SQLTransformer'), (1, 'StringIndexerModel'),
+            (2, 'OneHotEncoderModel'), (3, 'VectorAssembler'), (4, 'SQLTransformer'),
+            (5, 'LogisticRegressionModel')) AS saved(position, stage)""",
+    ),
     "load_model": Query(_load_model),
     "stream_score": Query(
         streams.replay_scores,

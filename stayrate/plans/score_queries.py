@@ -57,6 +57,16 @@ def _rounded_scores(spark, sf_dir):
     return _scored(spark, sf_dir).withColumn("score", F.round("churn_probability", 4))
 
 
+def _scored_variants(spark, sf_dir):
+    """Scores of three models: the scorecard, half of it, and the monthly contract alone."""
+    base = _scored(spark, sf_dir).select("label", "Contract", F.round("churn_probability", 4).alias("p"))
+    monthly = F.when(F.col("Contract") == "Month-to-month", 0.75).otherwise(0.25)
+    variants = {"scorecard": F.col("p"), "half": F.col("p") / 2, "monthly": monthly}
+    pairs = [F.struct(F.lit(n).alias("model_name"), s.alias("score")) for n, s in variants.items()]
+    rows = base.select("label", F.inline(F.array(*pairs)))
+    return rows.withColumn("predicted", (F.col("score") > 0.5).cast("int"))
+
+
 # --- table ----------------------------------------------------------------
 
 
@@ -109,6 +119,44 @@ def _update(spark, sf_dir):
     )
 
 
+def _update_to_null(spark, sf_dir):
+    """Errors clear the payment method and signups the charge of the event's user."""
+    fields = {"error": "PaymentMethod", "signup": "MonthlyCharges"}
+    updates = _events(spark, sf_dir).select(
+        KEYED,
+        "event_id",
+        F.when(F.col("event_type") == "click", F.lit("Clicked")).alias("PaymentMethod"),
+        F.lit(None).cast("double").alias("MonthlyCharges"),
+        F.array_compact(
+            F.array(
+                F.when(F.col("event_type").isin("error", "click"), F.lit(fields["error"])),
+                F.when(F.col("event_type") == "signup", F.lit(fields["signup"])),
+            )
+        ).alias("given"),
+    )
+    found = table.update_accounts(
+        load_accounts(spark, sf_dir), updates, "event_id", supplied="given"
+    )
+    return found.select(KEYED, "PaymentMethod", "MonthlyCharges")
+
+
+def _unknown_keys(spark, sf_dir):
+    """Users with events who have no account on a two-year contract."""
+    return table.unknown_keys(_stored(spark, sf_dir), _events(spark, sf_dir))
+
+
+def _numbered_scores(spark, sf_dir):
+    """Accounts without key, scored: how many distinct ids, and the largest number."""
+    scored = scoring.score_batch(load_accounts(spark, sf_dir).drop(KEYED), scorecard)
+    number = F.substring_index("customer_id", "_", -1).cast("bigint")
+    return scored.agg(
+        F.count("*").alias("n"),
+        F.count_distinct("customer_id").alias("ids"),
+        F.min(number).alias("first"),
+        F.max(number).alias("last"),
+    )
+
+
 def _delete(spark, sf_dir):
     gone = _events(spark, sf_dir).where("event_type = 'error'")
     return table.delete_accounts(load_accounts(spark, sf_dir), gone).select(KEYED, "Contract")
@@ -326,6 +374,20 @@ _CURVE = f"""{SCORED}, points AS (
                sum(pos) OVER () AS p, sum(neg) OVER () AS q FROM points)"""
 
 
+_VARIANTS = f"""{SCORED}, variants AS (
+        SELECT 'scorecard' AS model_name, Churn, round(churn_probability, 4) AS score FROM scored
+        UNION ALL SELECT 'half', Churn, round(churn_probability, 4) / 2 FROM scored
+        UNION ALL SELECT 'monthly', Churn,
+            CASE WHEN Contract = 'Month-to-month' THEN 0.75 ELSE 0.25 END FROM scored),
+    points AS (
+        SELECT model_name, score AS threshold,
+               count(*) FILTER (Churn = 'Yes') AS pos, count(*) FILTER (Churn = 'No') AS neg
+        FROM variants GROUP BY 1, 2),
+    curve AS (SELECT *, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn,
+               sum(pos) OVER (PARTITION BY model_name) AS p,
+               sum(neg) OVER (PARTITION BY model_name) AS q FROM points
+               WINDOW w AS (PARTITION BY model_name ORDER BY threshold DESC))"""
+
 _FACTOR_LIST = ", ".join(f"(CAST({f} AS DOUBLE))" for f in FACTORS)
 
 
@@ -410,6 +472,29 @@ QUERIES: dict[str, Query] = {
                    coalesce(m, MonthlyCharges) AS MonthlyCharges
             FROM accounts a LEFT JOIN latest l ON a.customerID = l.customerID""",
     ),
+    "update_to_null": Query(
+        _update_to_null,
+        f"""{ACCOUNTS}, latest AS (
+                SELECT CAST(user_id AS VARCHAR) AS customerID,
+                       max_by(event_type, event_id) FILTER (event_type IN ('error', 'click')) AS p,
+                       count(*) FILTER (event_type = 'signup') AS m
+                FROM events GROUP BY user_id)
+            SELECT a.customerID, CASE p WHEN 'error' THEN NULL WHEN 'click' THEN 'Clicked'
+                       ELSE PaymentMethod END AS PaymentMethod,
+                   CASE WHEN m > 0 THEN NULL ELSE MonthlyCharges END AS MonthlyCharges
+            FROM accounts a LEFT JOIN latest l ON a.customerID = l.customerID""",
+    ),
+    "unknown_keys": Query(
+        _unknown_keys,
+        f"""{ACCOUNTS} SELECT DISTINCT CAST(user_id AS VARCHAR) AS customerID FROM events
+            WHERE CAST(user_id AS VARCHAR) NOT IN (
+                SELECT customerID FROM accounts WHERE Contract = 'Two year')""",
+    ),
+    "score_batch_numbered": Query(
+        _numbered_scores,
+        f"""{ACCOUNTS} SELECT count(*) AS n, count(*) AS ids, 0::BIGINT AS first,
+            count(*) - 1 AS last FROM accounts""",
+    ),
     "delete_accounts": Query(
         _delete,
         f"""{ACCOUNTS} SELECT customerID, Contract FROM accounts WHERE customerID NOT IN (
@@ -639,6 +724,35 @@ QUERIES: dict[str, Query] = {
             UNION ALL SELECT NULL, 1.0, 0.0""",
         rounds(6, "precision", "recall"),
     ),
+    "model_curves": Query(
+        lambda s, d: evaluation.model_curves(
+            _scored_variants(s, d), "model_name", "label", "score"
+        ),
+        f"""{_VARIANTS} SELECT model_name, threshold, cn / q AS fpr, cp / p AS tpr,
+                cp / (cp + cn) AS precision FROM curve
+            UNION ALL SELECT DISTINCT model_name, CAST('inf' AS DOUBLE), 0.0, 0.0, 1.0 FROM curve""",
+        rounds(6, "threshold", "fpr", "tpr", "precision"),
+    ),
+    "model_metrics": Query(
+        lambda s, d: evaluation.model_metrics(
+            _scored_variants(s, d), "model_name", "label", "predicted", "score"
+        ).withColumn("confusion_matrix", F.to_json("confusion_matrix")),
+        f"""{_VARIANTS}, cells AS (
+                SELECT model_name, count(*) FILTER (Churn = 'Yes' AND score > 0.5) AS tp,
+                       count(*) FILTER (Churn = 'No' AND score > 0.5) AS fp,
+                       count(*) FILTER (Churn = 'Yes' AND score <= 0.5) AS fn,
+                       count(*) FILTER (Churn = 'No' AND score <= 0.5) AS tn
+                FROM variants GROUP BY 1),
+            areas AS (SELECT model_name, sum(neg * (cp - pos / 2)) / max(p * q) AS roc_auc
+                      FROM curve GROUP BY 1)
+            SELECT model_name, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1,
+                   coalesce(tp / nullif(tp + fn, 0), 0) AS recall,
+                   coalesce(tp / nullif(tp + fp, 0), 0) AS precision,
+                   (tp + tn) / (tp + fp + fn + tn) AS accuracy, roc_auc,
+                   '[[' || tn || ',' || fp || '],[' || fn || ',' || tp || ']]' AS confusion_matrix
+            FROM cells JOIN areas USING (model_name)""",
+        rounds(6, "f1", "recall", "precision", "accuracy", "roc_auc"),
+    ),
     # what-if
     "price_sensitivity": Query(
         lambda s, d: whatif.price_sensitivity(load_accounts(s, d), FACTORS, scorecard),

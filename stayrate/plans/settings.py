@@ -17,16 +17,60 @@ RESAMPLER_GRID = (
     {"resampler": ["oversample"], "resampler__sampling_strategy": [0.7, 1.0]},
 )
 
-# Wider resampling options of the exploratory forest search.
-WIDE_RESAMPLER_GRID = (
-    {"resampler": ["none"], "classifier__class_weight": [None, "balanced"]},
-    {"resampler": ["smote"], "resampler__k_neighbors": [3, 5, 7]},
-    {"resampler": ["undersample"], "resampler__sampling_strategy": [0.3, 0.5, 0.7]},
-    {"resampler": ["oversample"], "resampler__sampling_strategy": [0.5, 0.7, 1.0]},
-    {"resampler": ["adasyn"], "resampler__n_neighbors": [3, 5, 7]},
-    {"resampler": ["smoten"], "resampler__k_neighbors": [3, 5, 7]},
-    {"resampler": ["cluster_centroids"], "resampler__sampling_strategy": [0.5, 0.7, 1.0]},
-)
+# Wider resampling options of the exploratory searches.
+WIDE_RESAMPLER_GRID = {
+    "random_forest": (
+        {"resampler": ["none"], "classifier__class_weight": [None, "balanced", "balanced_subsample"]},
+        {"resampler": ["smote"], "resampler__k_neighbors": [3, 5, 7]},
+        {"resampler": ["undersample"], "resampler__sampling_strategy": [0.3, 0.5, 0.7]},
+        {"resampler": ["oversample"], "resampler__sampling_strategy": [0.5, 0.7, 1.0]},
+        {"resampler": ["adasyn"], "resampler__n_neighbors": [3, 5, 7]},
+        {"resampler": ["smoten"], "resampler__k_neighbors": [3, 5, 7]},
+        {"resampler": ["cluster_centroids"], "resampler__sampling_strategy": [0.5, 0.7, 1.0]},
+    ),
+    "gradient_boosting": (
+        {"resampler": ["none"]},
+        {"resampler": ["smote"], "resampler__k_neighbors": [3, 5, 7]},
+        {"resampler": ["undersample"], "resampler__sampling_strategy": [0.3, 0.5, 0.7]},
+        {"resampler": ["oversample"], "resampler__sampling_strategy": [0.5, 0.7, 1.0]},
+    ),
+    "xgboost": (
+        {"resampler": ["none"]},
+        {"resampler": ["smote"], "resampler__k_neighbors": [3, 5, 10]},
+        {"resampler": ["oversample"], "resampler__sampling_strategy": [0.5, 0.7, 1.0]},
+        {"resampler": ["undersample"], "resampler__sampling_strategy": [0.2, 0.35, 0.5]},
+    ),
+}
+
+# Classifier ranges of the exploratory searches.
+WIDE_CLASSIFIER_GRID = {
+    "random_forest": {
+        "classifier__n_estimators": [100, 200, 300, 400],
+        "classifier__max_depth": [5, 10, 15, 20, None],
+        "classifier__max_features": ["sqrt", "log2", 0.3],
+        "classifier__min_samples_split": [2, 5, 10],
+        "classifier__min_samples_leaf": [1, 3, 5],
+        "classifier__bootstrap": [True, False],
+    },
+    "gradient_boosting": {
+        "classifier__n_estimators": [100, 200, 300],
+        "classifier__learning_rate": [0.01, 0.05, 0.1, 0.2],
+        "classifier__max_depth": [3, 4, 5, 6],
+        "classifier__min_samples_split": [2, 5, 10],
+        "classifier__min_samples_leaf": [1, 3, 5],
+        "classifier__subsample": [0.7, 0.8, 0.9, 1.0],
+    },
+    "xgboost": {
+        "classifier__n_estimators": [100, 200, 300, 400, 500],
+        "classifier__learning_rate": [0.01, 0.05, 0.1, 0.2],
+        "classifier__max_depth": [3, 5, 7, 9],
+        "classifier__subsample": [0.7, 0.8, 0.9, 1.0],
+        "classifier__colsample_bytree": [0.7, 0.8, 0.9, 1.0],
+        "classifier__gamma": [0, 0.1, 0.5, 1, 2],
+        "classifier__reg_alpha": [0, 0.01, 0.1, 1],
+        "classifier__reg_lambda": [0.1, 1, 5, 10],
+    },
+}
 
 # Classifier ranges per family.
 CLASSIFIER_GRID = {
@@ -137,3 +181,21 @@ def family_grid(family: str) -> list[dict]:
     if family not in CLASSIFIER_GRID:
         raise ValueError(f"unknown model family: {family}")
     return [{**CLASSIFIER_GRID[family], **option} for option in RESAMPLER_GRID]
+
+
+def exploratory_grid(family: str, positive_weight: float = 1.0) -> list[dict]:
+    """Wider grids to sample from, of the families that were explored.
+
+    Without resampling, boosted trees also try ``positive_weight``, which is
+    meant to be the number of negatives per positive.
+    """
+    if family not in WIDE_CLASSIFIER_GRID:
+        raise ValueError(f"no exploratory ranges for: {family}")
+    grids = []
+    for option in WIDE_RESAMPLER_GRID[family]:
+        grid = {**WIDE_CLASSIFIER_GRID[family], **option}
+        if family == "xgboost":
+            plain = option["resampler"] == ["none"]
+            grid["classifier__scale_pos_weight"] = [1, positive_weight] if plain else [1]
+        grids.append(grid)
+    return grids

@@ -87,7 +87,7 @@ def stream_ingest(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_accounts(batch, path, order, incoming_rows=batch.count())
+        append_accounts(batch, path, order)
 
     return (
         arriving.writeStream.foreachBatch(write)

@@ -53,7 +53,6 @@ def test_only_model_work_lacks_sql():
             "load_model",
             "random_search_cv",
             "refit_full",
-            "save_model",
             "smote",
             "smoten",
             "top_features",

@@ -119,10 +119,20 @@ def test_actions(spark):
 def test_generated_ids_are_unique(accounts):
     scored = scoring.score_batch(accounts.drop("customerID").repartition(4), scoring.scorecard)
     assert scored.select("customer_id").distinct().count() == accounts.count()
+    numbers = {int(r[0].removeprefix("customer_")) for r in scored.collect()}
+    assert numbers == set(range(accounts.count()))
     one = scoring.score_batch(accounts.drop("customerID").limit(3).coalesce(1), scoring.scorecard)
     assert sorted(r[0] for r in one.collect()) == ["customer_0", "customer_1", "customer_2"]
 
 
+def test_numbers_follow_the_rows_and_stay(spark, small):
+    rows = spark.range(0, 1000, numPartitions=7).where("id % 3 = 0").withColumn("part", F.lit("x"))
+    found = [scoring.number_rows(rows, "n").orderBy("n").collect() for _ in range(2)]
+    assert found[0] == found[1]
+    assert [(r["n"], r["id"]) for r in found[0]] == [(i, 3 * i) for i in range(334)]
+    assert scoring.number_rows(rows.where("false"), "n").count() == 0
+
+
 def test_scores_do_not_depend_on_partitions(accounts):
     a = scoring.score_batch(accounts.repartition(1), scoring.scorecard).collect()
     b = scoring.score_batch(accounts.repartition(9), scoring.scorecard).collect()

@@ -44,9 +44,48 @@ def test_ingest_counts_row(spark, incoming):
 
 def test_small_and_large_ingests_agree(spark, incoming):
     stored = incoming.where("customerID = 'b'")
-    few = table.new_accounts(incoming, stored, "arrival", incoming_rows=4)
-    many = table.new_accounts(incoming, stored, "arrival")
-    assert few.collect() == many.collect()
+    few = table.new_accounts(incoming, stored, "arrival").collect()
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert table.new_accounts(incoming, stored, "arrival").collect() == few
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_ingest_counts_only_its_own_rows(spark, incoming, tmp_path, monkeypatch):
+    path = str(tmp_path / "accounts")
+    table.ingest_accounts(incoming, path, "arrival")
+    other = spark.createDataFrame([("z", "x", 1, 1)], SCHEMA)
+    stored = table.stored_accounts
+
+    def meanwhile(session, at):
+        found = stored(session, at)
+        table.with_stamps(other.drop("arrival")).write.mode("append").parquet(at)
+        return found
+
+    monkeypatch.setattr(table, "stored_accounts", meanwhile)
+    more = spark.createDataFrame([("b", "x", 1, 1), ("c", "x", 1, 1)], SCHEMA)
+    assert table.ingest_accounts(more, path, "arrival") == (1, 1)
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_update_sets_fields_to_null(spark):
+    df = spark.createDataFrame(
+        [("a", "x", 1), ("b", "y", 2), ("c", "z", 3)], "customerID string, Contract string, tenure int"
+    )
+    updates = spark.createDataFrame(
+        [
+            ("a", 1, "new", None, ["Contract"]),
+            ("a", 2, None, 7, ["Contract", "tenure"]),
+            ("b", 1, None, None, ["tenure"]),
+            ("b", 2, "kept out", 9, []),
+            ("c", 1, None, 5, None),
+        ],
+        "customerID string, at int, Contract string, tenure int, given array<string>",
+    )
+    found = table.update_accounts(df, updates, "at", supplied="given").orderBy("customerID")
+    assert [tuple(r) for r in found.collect()] == [("a", None, 7), ("b", "y", None), ("c", "z", 3)]
 
 
 def test_lookup(incoming):
