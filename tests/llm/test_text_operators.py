@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -149,6 +150,101 @@ def test_secrets(documents):
     assert secrets.find_secrets(documents([])).count() == 0
 
 
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def _line_class(line):
+    n = len(line.split())
+    return next((c for c, top in ((6, 10), (10, 20), (20, 40), (40, 80)) if c <= n < top), 80 if n >= 80 else 0)
+
+
+def _near_lines(docs):
+    """Normal forms of all lines, and all pairs of them that are nine tenths equal by edits.
+
+    A pair of that similarity shares more than half of its runs of four
+    characters, so the rarest of them bring every pair together.
+    """
+    texts = [r.text for r in docs.select("text").collect()]
+    lines = sorted({re.sub(r"[\W_]+", " ", x.lower()).strip() for t in texts for x in (t or "").split("\n")} - {""})
+    grams = [{x[i : i + 4] for i in range(len(x) - 3)} or {x} for x in lines]
+    held = Counter(g for own in grams for g in own)
+    places, pairs = {}, []
+    for i, own in enumerate(grams):
+        seen = set()
+        for g in sorted(own, key=lambda g: (held[g], g))[: int(0.45 * len(own)) + 2]:
+            seen.update(places.get(g, ()))
+            places.setdefault(g, []).append(i)
+        for j in seen:
+            longest = max(len(lines[i]), len(lines[j]))
+            if abs(len(lines[i]) - len(lines[j])) > 0.1 * longest:
+                continue
+            if len(own & grams[j]) >= 0.5 * max(len(own), len(grams[j])) - 4:
+                pairs.append((lines[j], lines[i]))
+    return lines, pairs
+
+
+def test_recall_of_near_lines_by_length(spark, medium):
+    docs = spark.read.parquet(f"{medium}/documents.parquet")
+    lines, pairs = _near_lines(docs)
+    draw = random.Random(4)
+    # One letter changed in every line, and what the documents themselves hold.
+    changed = []
+    for line in draw.sample([x for x in lines if len(x.split()) >= 6], 1500):
+        at = draw.choice([i for i, c in enumerate(line) if c != " "])
+        changed.append((line, line[:at] + ("x" if line[at] != "x" else "y") + line[at + 1 :]))
+    both = [(kind, *pair) for kind, held in (("own", pairs), ("letter", changed)) for pair in held]
+    frame = spark.createDataFrame(both, "kind string, x string, y string")
+    most = F.floor(F.greatest(F.length("x"), F.length("y")) * 0.1 + 1e-9).cast("int")
+    frame = frame.where(F.levenshtein("x", "y") <= most)
+    norms = frame.select(F.explode(F.array("x", "y")).alias("norm")).distinct()
+    keyed = norms.select(
+        "norm",
+        F.xxhash64("norm").alias("h1"),
+        F.xxhash64(F.lit(1), "norm").alias("h2"),
+        *[F.lit(0).alias(c) for c in ("id", "k", "at")],
+    )
+    tables = line_dedup._simhashes(keyed).select("h1", "chars", "lo", "hi", line_dedup._tables().alias("t"))
+    a, b = tables.alias("a"), tables.alias("b")
+    found = (
+        frame.join(a, F.xxhash64("x") == F.col("a.h1"))
+        .join(b, F.xxhash64("y") == F.col("b.h1"))
+        .select("kind", "x", (F.arrays_overlap("a.t", "b.t") & line_dedup._near("a", "b")).alias("met"))
+        .collect()
+    )
+    share = {}
+    for r in found:
+        share.setdefault((r.kind, _line_class(r.x)), []).append(r.met)
+    for (kind, least), met in share.items():
+        if least >= 6 and len(met) >= 20:
+            assert sum(met) / len(met) >= 0.9, (kind, least, len(met))
+    assert {least for kind, least in share if kind == "letter"} == {6, 10, 20, 40, 80}
+
+
+def test_line_dedup_columns_that_clash(spark):
+    line = "one two three four five six"
+    rows = [(1, f"{line}\nrest"), (2, line), (3, None)]
+    names = ("__text", "__removed", "__id", "__k", "removed", "row", "own", "hash", "k", "id", "new")
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame([(*r, *names) for r in rows], schema)
+    kept = line_dedup.without_repeated_lines(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [(*rows[0], *names), (*rows[2], *names)]
+    assert line_dedup.without_repeated_lines(docs.where("false")).count() == 0
+
+
+def test_very_long_lines(documents):
+    long = " ".join(f"w{i % 3000}x{i}" for i in range(3_000))
+    rows = [(1, long), (2, long + " end"), (3, "x" * 20_000), (4, "x" * 19_999)]
+    found = {r.doc_id: r.removed for r in line_dedup.line_counts(documents(rows)).collect()}
+    assert found[1] == [] and found[2] == [0] and found[3] == []
+
+
 def test_line_dedup(documents):
     draw = random.Random(2)
     base = [" ".join(_words(draw, 60)) for _ in range(12)]
@@ -163,39 +259,21 @@ def test_line_dedup(documents):
         (None, base[11]),
         (12, "new line here\nnew line here"),
     ]
-    spark = documents(rows).sparkSession
-    keyed = line_dedup._keyed(line_dedup.document_lines(documents(rows), "doc_id", "text"))
-    nodes = line_dedup._simhashes(keyed).collect()
-    norms = {(r.h1, r.h2): r.norm for r in keyed.collect()}
-    hashes = {}
-    for r in nodes:
-        norm = norms[(r.h1, r.h2)]
-        words = norm.split(" ")
-        numbers = spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w")).collect()
-        ones = [sum((n[0] >> b) & 1 for n in numbers) for b in range(64)]
-        wanted = sum(1 << b for b in range(64) if 2 * ones[b] > len(words))
-        assert r.simhash & ((1 << 64) - 1) == wanted
-        hashes[norm] = wanted
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row = row, [i]
-            for j, y in enumerate(b, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
-        return row[-1]
-
-    root = {n: n for n in hashes}
+    norms = {
+        re.sub(r"[\W_]+", " ", line.lower()).strip()
+        for _, text in rows
+        for line in (text or "").split("\n")
+    } - {""}
+    root = {n: n for n in norms}
 
     def find(x):
         return x if root[x] == x else find(root[x])
 
-    for a in hashes:
-        for b in hashes:
-            if a < b and (hashes[a] ^ hashes[b]).bit_count() <= 3:
-                longest = max(len(a), len(b))
-                if distance(a, b) <= int(longest * 0.1 + 1e-9):
-                    root[find(a)] = find(b)
+    # Links by edit similarity alone.
+    for a in norms:
+        for b in norms:
+            if a < b and _distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9):
+                root[find(a)] = find(b)
     lines, first = {}, {}
     for doc_id, text in rows:
         for at, line in enumerate((text or "").split("\n")):
