@@ -141,16 +141,25 @@ def mixed_documents(
     """The rows of ``docs``, each as often as the mix of ``mix_sources`` takes it.
 
     Texts stay where they are read; only the facts of the sources travel.
-    Documents without words are in no mix.
+    Documents without words, null texts included, are in no mix; a null source is
+    a source like any other, a repeated row is taken as often as each of its
+    repeats, and an empty table gives no rows. Columns may have any names.
     """
     sized = settle(_sized(docs, id_col, text_col, source_col))
     facts = source_facts(sized, weights, share, most).select("p", "rounds", "below")
-    again = F.coalesce(document_hash(id_col, text_col) < F.col("below"), F.lit(False)).cast("int")
+    again = F.coalesce(F.col("hash") < F.col("below"), F.lit(False)).cast("int")
     times = F.col("rounds").cast("int") + again
-    joined = docs.join(facts, docs[source_col].eqNullSafe(facts["p"]))
-    taken = joined.where((word_count(text_col) > 0) & (times > 0))
-    copies = F.explode(F.array_repeat(F.lit(True), times))
-    return taken.withColumn("__copy", copies).select(*docs.columns)
+    # The caller's row is one column, so that its names meet none of these.
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"),
+        F.col(source_col).alias("from_source"),
+        word_count(text_col).alias("size"),
+        document_hash(id_col, text_col).alias("hash"),
+    )
+    joined = rows.join(facts, F.col("from_source").eqNullSafe(F.col("p")))
+    taken = joined.where((F.col("size") > 0) & (times > 0))
+    copies = F.explode(F.array_repeat(F.lit(True), times)).alias("copy")
+    return taken.select("row", copies).select("row.*")
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:

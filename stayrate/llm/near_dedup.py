@@ -698,12 +698,19 @@ def without_near_duplicates(
     width: int = 5,
     percent: int = 80,
 ) -> DataFrame:
-    """The rows of ``docs`` that ``near_components`` keeps, all columns as they are."""
+    """The rows of ``docs`` that ``near_components`` keeps, all columns as they are.
+
+    Nulls, repeats and empty tables are treated as there; columns may have any names.
+    """
     found = near_components(docs, id_col, text_col, width, percent)
     gone = found.where("not kept").select(
-        F.col(id_col).alias("__id"), F.col("text_hash").alias("__k")
+        F.col(id_col).alias("gone_id"), F.col("text_hash").alias("gone_hash")
     )
     gone = few_rows(settle(gone.distinct()))
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__k"))
-    return docs.join(gone, same, "left_anti")
+    # The caller's row is one column, so that its names meet none of these.
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(id_col).alias("own"), F.xxhash64(text).alias("hash")
+    )
+    same = F.col("own").eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash"))
+    return rows.join(gone, same, "left_anti").select("row.*")

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from stayrate.llm import mixing, near_dedup
 from stayrate.llm.mixing import mix_sources, mixed_documents
 
 
@@ -88,3 +89,27 @@ def test_nothing(documents):
     assert mix_sources(documents([])).count() == 0
     only = mix_sources(documents([(1, None), (2, "")])).collect()
     assert [(r.size, r.target, r.taken) for r in only] == [(0, 0.0, 0)] * 2
+
+
+def test_mixed_documents_with_columns_that_clash(spark):
+    names = ("below", "rounds", "p", "__copy", "row", "size", "hash", "from_source", "copy")
+    schema = "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(i, "a b c d" if i % 3 else None, "s" if i % 2 else None, *names) for i in range(30)]
+    docs = spark.createDataFrame(rows, schema)
+    plain = docs.select("doc_id", "text", "source")
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    wanted = sorted(r.doc_id for r in mixing.mixed_documents(plain).collect())
+    assert sorted(r.doc_id for r in mixed.collect()) == wanted and wanted
+    assert mixing.mixed_documents(docs.where("false")).count() == 0
+
+
+def test_near_duplicates_with_columns_that_clash(spark):
+    names = ("__id", "__k", "own", "hash", "row", "gone_id", "node", "kept")
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, text, *names), (2, text, *names), (3, None, *names)], schema)
+    kept = near_dedup.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert near_dedup.without_near_duplicates(docs.where("false")).count() == 0
