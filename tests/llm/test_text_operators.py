@@ -226,6 +226,24 @@ def test_recall_of_near_lines_by_length(spark, medium):
     assert {least for kind, least in share if kind == "letter"} == {6, 10, 20, 40, 80}
 
 
+def test_middles_have_the_distance_of_the_texts(spark):
+    draw = random.Random(6)
+    rows = [("a", "a"), ("a", "a b"), ("a b", "b"), ("a b", "a b a b"), ("a a a", "a a"), ("x", "y z")]
+    for _ in range(300):
+        x = draw.choices("ab", k=draw.randrange(1, 9))
+        y = list(x)
+        for _ in range(draw.randrange(3)):
+            y[draw.randrange(len(y))] = draw.choice(["a", "b", "ab", "a b"])
+        rows.append((" ".join(x), " ".join(y)))
+    df = spark.createDataFrame(rows, "x string, y string")
+    cut = df.select(F.levenshtein("x", "y").alias("whole"), line_dedup.middles("x", "y").alias("m"))
+    found = cut.select("whole", F.levenshtein("m.x", "m.y").alias("cut"), F.length("m.x").alias("n")).collect()
+    assert all(r.whole == r.cut for r in found)
+    long = " ".join(f"w{i}" for i in range(500))
+    ends = spark.createDataFrame([(long, long.replace("w250", "v"))], "x string, y string")
+    assert ends.select(F.length(line_dedup.middles("x", "y")["x"])).first()[0] < 20
+
+
 def test_line_dedup_columns_that_clash(spark):
     line = "one two three four five six"
     rows = [(1, f"{line}\nrest"), (2, line), (3, None)]
