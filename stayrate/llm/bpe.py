@@ -27,7 +27,7 @@ SCATTER = 0xD6E8FEB86659FD93
 MASK = (1 << 64) - 1
 PRIME = (1 << 61) - 1
 #: Pre-tokens, and pieces inside them, that a task remembers before it starts over.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Longest pieces remembered, in bytes; longer ones seldom come again.
 SHORT = 4
 ROWS_PER_BATCH = 256

@@ -38,7 +38,7 @@ SPARSE = 32
 #: Best neighbours and central documents compared first.
 NEIGHBOURS = 2
 CENTRES = 3
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 SPREAD = 4.5
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
