@@ -57,9 +57,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         *(of_kind(kind) for kind, *_ in secrets.KINDS),
         F.sha2(joined(base), 256).alias("base_sha256"),
-        joined(F.col("findings")).alias("spans"),
+        joined(F.filter("findings", lambda f: (f["kind"] != "owned") | f["live"])).alias("spans"),
         count(lambda f: f["live"]).alias("n_live"),
-        count(lambda f: f["n_owners"] > secrets.LIVE_OWNERS).alias("n_copied"),
+        count(lambda f: ~f["live"]).alias("n_copied"),
+        joined(F.filter("findings", lambda f: ~f["live"])).alias("copied_spans"),
     )
 
 

@@ -1,17 +1,18 @@
 """Secrets in texts, and how widely each candidate is copied.
 
 Three base patterns find secrets by their form. Further candidates are long
-tokens of mixed characters. Every candidate's hash is counted over the corpus by
-distinct repositories and owners: a value that several owners hold is a copied
-example, one that a single owner holds in few repositories looks live, and such
-tokens are findings of their own.
+tokens of mixed characters. Every candidate's hash is counted over the distinct
+texts of the corpus by distinct repositories and owners: a value that several
+owners hold is a copied example, one that a single owner holds in few
+repositories looks live. Copied candidates stay findings, marked as not live.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stayrate.operators.skew import lookup_join
 from stayrate.session import settle
 
 # The base patterns, with the group that holds the value and the
@@ -33,107 +34,117 @@ LIVE_OWNERS = 1
 LIVE_REPOSITORIES = 3
 
 
-def _spans(text: Column, kind: str, order: int, pattern: str, group: int, least: int) -> Column:
-    """Matches of a pattern with their places in code points.
+def _matches(text: Column, order: int, pattern: str, group: int, least: int) -> Column:
+    """Matches of a pattern: characters before each since the last one, size, value hash.
 
-    The pieces between the matches and the matches themselves alternate, so the
-    lengths of what comes before give the places.
+    The pieces between the matches and the matches themselves alternate. A match
+    whose value does not qualify has no hash; its length still counts for places.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    between = F.split(text, pattern, -1)
-    # Running over the matches: the end of the last one and the spans so far.
-    empty = F.array().cast(
-        "array<struct<kind:string,ord:int,start:int,stop:int,value:string>>"
-    )
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    rows = F.arrays_zip(
-        F.slice(between, F.lit(1), F.size(whole)).alias("skip"),
-        whole.alias("whole"),
-        value.alias("value"),
-    )
-
-    def step(state: Column, row: Column) -> Column:
-        begin = state["at"] + F.length(row["skip"])
-        end = begin + F.length(row["whole"])
-        span = F.struct(
-            F.lit(kind).alias("kind"),
+    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
+    rows = F.arrays_zip(between.alias("skip"), whole.alias("whole"), value.alias("value"))
+
+    def match(row: Column, place: Column) -> Column:
+        good = F.length(row["value"]) >= least
+        if order == len(KINDS):
+            good = good & _live_looking(row["value"])
+        return F.struct(
             F.lit(order).alias("ord"),
-            begin.alias("start"),
-            end.alias("stop"),
-            row["value"].alias("value"),
+            place.alias("place"),
+            F.length(row["skip"]).alias("skip"),
+            F.length(row["whole"]).alias("size"),
+            F.when(good, F.sha2(row["value"], 256)).alias("hash"),
         )
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(span)).alias("found"))
-
-    spans = F.aggregate(rows, start, step)["found"]
-    spans = F.filter(spans, lambda s: F.length(s["value"]) >= least)
-    return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(empty)
 
-
-def _inside(span: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: (o["start"] < span["stop"]) & (span["start"] < o["stop"]))
+    none = F.array().cast("array<struct<ord:int,place:int,skip:int,size:int,hash:string>>")
+    return F.when(F.rlike(text, F.lit(pattern)), F.transform(rows, match)).otherwise(none)
 
 
 def _live_looking(value: Column) -> Column:
     return F.rlike(value, F.lit("[0-9]")) & F.rlike(value, F.lit("[A-Za-z]"))
 
 
+def _spans(scanned: DataFrame) -> DataFrame:
+    """``row``, ``ord``, ``start``, ``stop`` and ``hash`` of every finding, by running totals.
+
+    Ends of matches are running sums within a text and pattern. A candidate stays
+    if no base span before it reaches into it and none behind it starts in it, so
+    the work grows with the matches of a text, not with their square.
+    """
+    text = Window.partitionBy("row")
+    along = Window.partitionBy("row", "ord").orderBy("place")
+    before = text.orderBy("start", "ord").rowsBetween(Window.unboundedPreceding, -1)
+    behind = text.orderBy(F.desc("start"), F.desc("ord")).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    is_base = F.col("ord") < len(KINDS)
+    placed = (
+        scanned.select("row", F.inline("matches"))
+        .withColumn("stop", F.sum(F.col("skip") + F.col("size")).over(along).cast("int"))
+        .withColumn("start", F.col("stop") - F.col("size"))
+        .where("hash IS NOT NULL")
+        .withColumn("reached", F.max(F.when(is_base, F.col("stop"))).over(before))
+        .withColumn("next", F.min(F.when(is_base, F.col("start"))).over(behind))
+    )
+    apart = (F.coalesce("reached", "start") <= F.col("start")) & (
+        F.coalesce("next", "stop") >= F.col("stop")
+    )
+    return placed.where(is_base | apart).select("row", "ord", "start", "stop", "hash")
+
+
 def scan_secrets(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     repository_col: str = "doc_id",
     owner_col: str = "source",
-) -> DataFrame:
-    """``row``, id, ``repository``, ``owner`` and ``spans`` of every document, written.
+) -> tuple[DataFrame, DataFrame]:
+    """Every document, and every finding, both written.
 
-    Spans are (kind, ord, start, stop, value hash); those of kind ``owned`` are
-    candidates that overlap no base span.
+    Documents are ``row``, id, ``repository``, ``owner``, ``text`` (a hash) and
+    the raw ``matches``; findings are (row, ord, start, stop, value hash). Those of the last
+    ``ord`` are candidates that overlap no base span.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = F.concat(*(_spans(text, k, i, p, g, n) for i, (k, p, g, n) in enumerate(KINDS)))
-    kind, pattern, group, least = TOKEN
-    more = _spans(text, kind, len(KINDS), pattern, group, least)
-    rows = docs.select(
-        F.col(id_col).alias("id"),
-        F.coalesce(F.col(repository_col).cast("string"), F.lit("")).alias("repository"),
-        F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"),
-        base.alias("base"),
-        more.alias("more"),
-    )
-    extra = F.filter("more", lambda s: _live_looking(s["value"]) & ~_inside(s, F.col("base")))
-    hashed = F.transform(
-        F.concat("base", extra),
-        lambda s: F.struct(
-            s["kind"].alias("kind"),
-            s["ord"].alias("ord"),
-            s["start"].alias("start"),
-            s["stop"].alias("stop"),
-            F.sha2(s["value"], 256).alias("hash"),
-        ),
-    )
-    return settle(
-        rows.select(
+    patterns = [*KINDS, TOKEN]
+    found = F.concat(*(_matches(text, i, p, g, n) for i, (_, p, g, n) in enumerate(patterns)))
+    scanned = settle(
+        docs.select(
             F.monotonically_increasing_id().alias("row"),
-            "id",
-            "repository",
-            "owner",
-            hashed.alias("spans"),
+            F.col(id_col).alias("id"),
+            F.col(repository_col).cast("string").alias("repository"),
+            F.col(owner_col).cast("string").alias("owner"),
+            F.md5(text.cast("binary")).alias("text"),
+            found.alias("matches"),
         )
     )
+    return scanned, settle(_spans(scanned))
 
 
-def ownership(found: DataFrame) -> DataFrame:
-    """``hash``, ``n_repositories``, ``n_owners`` and ``live`` of every candidate value.
+def ownership(scanned: DataFrame, spans: DataFrame) -> DataFrame:
+    """``hash``, ``n_spans``, ``n_repositories``, ``n_owners`` and ``live`` of every value.
 
-    Distinct repositories and owners are counted in steps that each combine
-    before they shuffle, so a value in a third of all documents is no hot key.
+    Equal texts speak once, for the least of their repositories and owners: a
+    document that is copied as a whole does not make its secret an example.
+    Distinct texts, repositories and owners are counted in steps that each
+    combine before they shuffle, so a value in a third of all documents is no hot
+    key.
     """
-    values = found.select("repository", "owner", F.explode("spans.hash").alias("hash"))
-    pairs = values.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n"))
-    owners = pairs.groupBy("hash", "owner").agg(F.count("*").alias("n"))
+    holder = F.struct("repository", "owner")
+    texts = scanned.where(F.size("matches") > 0).groupBy("text").agg(F.min(holder).alias("holder"))
+    counted = spans.groupBy("row", "hash").agg(F.count("*").alias("n"))
+    held = scanned.select("row", "text").join(counted, "row")
+    held = held.groupBy("hash", "text").agg(F.sum("n").alias("n"))
+    values = held.join(texts, "text").select("hash", "holder.*", "n")
+    pairs = values.groupBy("hash", "owner", "repository").agg(F.sum("n").alias("n"))
+    owners = pairs.groupBy("hash", "owner").agg(
+        F.sum("n").alias("n"), F.count("*").alias("repositories")
+    )
     totals = owners.groupBy("hash").agg(
-        F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners")
+        F.sum("n").alias("n_spans"),
+        F.sum("repositories").alias("n_repositories"),
+        F.count("*").alias("n_owners"),
     )
     live = (F.col("n_owners") <= LIVE_OWNERS) & (F.col("n_repositories") <= LIVE_REPOSITORIES)
     return totals.withColumn("live", live)
@@ -150,21 +161,25 @@ def find_secrets(
 
     Findings are (start, ord, kind, stop, hash, n_repositories, n_owners, live),
     sorted by start and kind: every base match, and the candidates of kind
-    ``owned`` that look live. Places are code points, ends exclusive. A null text
-    counts as empty, a null repository or owner as one of its own; a repeated row
-    is a document of its own. An empty table gives no rows; other columns are
-    not read.
+    ``owned`` that overlap none; ``live`` tells those of one owner from copied
+    examples. Places are code points, ends exclusive. A null text counts as empty;
+    null is one repository or owner more, apart from the empty string. A repeated
+    row is a document of its own, and equal texts count once for ownership. An
+    empty table gives no rows; other columns are not read.
     """
-    found = scan_secrets(docs, id_col, text_col, repository_col, owner_col)
-    each = found.select("row", F.explode("spans").alias("s")).select("row", "s.*")
-    judged = each.join(ownership(found), "hash").where("kind != 'owned' or live")
+    scanned, spans = scan_secrets(docs, id_col, text_col, repository_col, owner_col)
+    owned = settle(ownership(scanned, spans))
+    total = owned.agg(F.sum("n_spans")).scalar()
+    names = F.array(*(F.lit(kind) for kind, *_ in (*KINDS, TOKEN)))
+    judged = lookup_join(spans, owned, ["hash"], "n_spans", total)
+    judged = judged.withColumn("kind", F.get(names, F.col("ord")))
     finding = F.struct(
         "start", "ord", "kind", "stop", "hash", "n_repositories", "n_owners", "live"
     )
     lists = judged.groupBy("row").agg(F.sort_array(F.collect_list(finding)).alias("findings"))
     empty = F.array().cast(lists.schema["findings"].dataType)
     return (
-        found.select("row", "id")
+        scanned.select("row", "id")
         .join(lists, "row", "left")
         .select("row", F.col("id").alias(id_col), F.coalesce("findings", empty).alias("findings"))
     )
