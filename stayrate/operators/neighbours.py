@@ -1,10 +1,12 @@
 """Exact nearest neighbours of distinct vectors, by cells around pivots.
 
 Points are sent to the cell of their nearest pivot. A query meets its own cell
-first; the distance it finds bounds which other cells can hold anything closer,
-and only those are visited. Cells are worked in blocks of bounded size on both
-sides, so a crowded cell becomes more blocks rather than a bigger task, and a
-block emits at most ``k`` rows per query.
+first; the distance it finds bounds which other cells can hold anything closer.
+Those are visited in rounds, the most promising first and twice as many in every
+round, and what a round finds narrows the next. Cells are worked in blocks of
+bounded size on both sides, so a crowded cell becomes more blocks rather than a
+bigger task. A block emits at most ``k`` rows per query, and as many are left
+after every merge.
 """
 
 from __future__ import annotations
@@ -14,11 +16,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayrate.operators.resampling import hash_share
-from stayrate.session import settle
+from stayrate.session import release, settle
 
 BLOCK = 2_000
 #: Pivots sit in every task, as one matrix.
@@ -95,12 +97,18 @@ def _by_cell(spark, blocks: dict[int, int], name: str) -> DataFrame:
 
 
 def _candidates(
-    visits: DataFrame, data: DataFrame, k: int, payload: Sequence[str]
+    visits: DataFrame,
+    visit_sizes: dict[int, int],
+    data: DataFrame,
+    data_sizes: dict[int, int],
+    k: int,
+    payload: Sequence[str],
 ) -> DataFrame:
-    """Best ``k`` per visiting query and block: ``(vid, found)``."""
+    """Best ``k`` per visiting query and block: ``(vid, found)``.
+
+    ``visits`` are ``(vid, cell, vec)``; the sizes count rows per cell.
+    """
     spark = data.sparkSession
-    data_sizes = {r["cell"]: r["n"] for r in _sizes(data)}
-    visit_sizes = {r["cell"]: r["n"] for r in _sizes(visits)}
     data_blocks = _by_cell(spark, _blocks(data_sizes), "data_blocks")
     visit_blocks = _by_cell(spark, _blocks(visit_sizes), "visit_blocks")
 
@@ -176,43 +184,33 @@ def _candidates(
     )
 
 
-def _sizes(points: DataFrame):
-    return points.groupBy("cell").agg(F.count("*").alias("n")).collect()
+def _sizes(points: DataFrame) -> dict[int, int]:
+    """Rows per cell, one for each of the bounded number of cells."""
+    rows = points.groupBy("cell").agg(F.count("*").alias("n")).collect()
+    return {r["cell"]: r["n"] for r in rows}
 
 
 def _best(candidates: DataFrame, k: int) -> DataFrame:
-    """The nearest ``k`` of each query's candidates, nearest first."""
-    return candidates.groupBy("vid").agg(
-        F.slice(F.sort_array(F.collect_list("found")), 1, k).alias("neighbours")
-    )
+    """The nearest ``k`` of each query's candidates, nearest first.
 
+    Rows beyond the place ``k`` are dropped on both sides of the shuffle, by
+    sorting, so no query's candidates are held together.
+    """
+    near = Window.partitionBy("vid").orderBy("found.distance", "found.vid")
+    kept = candidates.withColumn("place", F.row_number().over(near)).where(F.col("place") <= k)
+    return kept.groupBy("vid").agg(F.sort_array(F.collect_list("found")).alias("neighbours"))
 
-def nearest(
-    queries: DataFrame, data: DataFrame, k: int, payload: Sequence[str] = ()
+
+def _route(
+    asking: DataFrame, pivots: np.ndarray, widths: dict[int, float], skip: int, step: int
 ) -> DataFrame:
-    """Rows ``(vid, neighbours)``: each query's exact ``k`` nearest other points.
+    """``(vid, cell)``: the cells each query visits next.
 
-    Both sides hold distinct vectors as ``(vid string, vec array<double>)``;
-    a point is not its own neighbour. ``payload`` columns of ``data`` come along
-    in the neighbour structs ``(distance, vid, vec, ...)``. Ties go by ``vid``.
+    ``asking`` are ``(vid, vec, cell, reach, radius)``. Cells stand in the order of
+    the least distance anything in them can have, which does not depend on the
+    radius; the first ``skip`` were visited before, and of the next ``step`` those
+    within the radius are taken. A query without a cell here is settled.
     """
-    own = queries is data
-    data = data.select("vid", "vec", *payload)
-    n = data.count()
-    pivots = choose_pivots(data, n)
-    data = settle(assign_cells(data, pivots))
-    if own:
-        queries = data.select("vid", "vec", "cell", "reach")
-    else:
-        queries = settle(assign_cells(queries.select("vid", "vec"), pivots))
-    first = settle(_best(_candidates(queries, data, k, payload), k))
-    if len(pivots) == 1:
-        return first
-
-    widths = {
-        r["cell"]: r["width"]
-        for r in data.groupBy("cell").agg(F.max("reach").alias("width")).collect()
-    }
     cells = np.array(sorted(widths))
     width = np.array([widths[c] for c in cells])
 
@@ -227,30 +225,81 @@ def nearest(
                 half_plane = (to_cell**2 - home**2) / (2 * gap)
             half_plane = np.where(gap > 0, half_plane, 0.0)
             bound = np.maximum(half_plane, to_cell - width[None, :])
+            bound[cells[None, :] == own[:, None]] = np.inf
+            order = np.argsort(bound, axis=1, kind="stable")[:, skip : skip + step]
+            bound = np.take_along_axis(bound, order, axis=1)
             radius = batch["radius"].fillna(np.inf).to_numpy()[:, None]
             # The margin keeps rounding from hiding a cell on the boundary.
-            visit = bound <= radius * (1 + 1e-9) + 1e-7
-            visit &= cells[None, :] != own[:, None]
+            visit = np.isfinite(bound) & (bound <= radius * (1 + 1e-9) + 1e-7)
             rows, columns = np.nonzero(visit)
             yield pd.DataFrame(
                 {
                     "vid": batch["vid"].to_numpy()[rows],
-                    "vec": batch["vec"].to_numpy()[rows],
-                    "cell": cells[columns].astype("int32"),
+                    "cell": cells[order[rows, columns]].astype("int32"),
                 }
             )
 
-    radius = first.select(
-        "vid",
-        F.when(F.size("neighbours") >= k, F.element_at("neighbours", -1)["distance"]).alias(
-            "radius"
-        ),
+    return asking.select("vid", "vec", "cell", "reach", "radius").mapInPandas(
+        route, "vid string, cell int"
     )
-    visits = settle(
-        queries.join(radius, "vid", "left").mapInPandas(
-            route, "vid string, vec array<double>, cell int"
+
+
+def nearest(
+    queries: DataFrame, data: DataFrame, k: int, payload: Sequence[str] = (), first_step: int = 1
+) -> DataFrame:
+    """Rows ``(vid, neighbours)``: each query's exact ``k`` nearest other points.
+
+    Both sides hold distinct vectors as ``(vid string, vec array<double>)``;
+    a point is not its own neighbour. ``payload`` columns of ``data`` come along
+    in the neighbour structs ``(distance, vid, vec, ...)``. Ties go by ``vid``.
+    ``first_step`` is the number of further cells of the first round.
+    """
+    own = queries is data
+    data = data.select("vid", "vec", *payload)
+    n = data.count()
+    pivots = choose_pivots(data, n)
+    data = stored = settle(assign_cells(data, pivots))
+    if own:
+        queries = data.select("vid", "vec", "cell", "reach")
+    else:
+        queries = settle(assign_cells(queries.select("vid", "vec"), pivots))
+    data_sizes = _sizes(data)
+    home_sizes = data_sizes if own else _sizes(queries)
+    best = settle(_best(_candidates(queries, home_sizes, data, data_sizes, k, payload), k))
+    if len(pivots) == 1:
+        return best
+
+    widths = {
+        r["cell"]: r["width"]
+        for r in data.groupBy("cell").agg(F.max("reach").alias("width")).collect()
+    }
+    full = F.when(F.size("neighbours") >= k, F.element_at("neighbours", -1)["distance"])
+    rounds, visited = [best], []
+    asking, skip, step = queries, 0, first_step
+    while skip < len(widths):
+        asking = asking.join(best.select("vid", full.alias("radius")), "vid", "left")
+        visits = settle(_route(asking, pivots, widths, skip, step))
+        visited.append(visits)
+        sizes = _sizes(visits)
+        if not sizes:
+            break
+        # Only queries with a visit go on; the others keep what they have.
+        open_ids = visits.select("vid")
+        asking = queries.join(open_ids, "vid", "left_semi")
+        known = best.join(open_ids, "vid", "left_semi").select(
+            "vid", F.explode("neighbours").alias("found")
         )
+        carried = visits.join(queries.select("vid", "vec"), "vid")
+        more = _candidates(carried, sizes, data, data_sizes, k, payload)
+        best = settle(_best(known.unionByName(more), k))
+        rounds.append(best)
+        skip, step = skip + step, 2 * step
+    # The last round that touched a query holds its result.
+    numbered = rounds[0].withColumn("round", F.lit(0))
+    for i, found in enumerate(rounds[1:], 1):
+        numbered = numbered.unionByName(found.withColumn("round", F.lit(i)))
+    last = settle(
+        numbered.groupBy("vid").agg(F.max_by("neighbours", "round").alias("neighbours"))
     )
-    more = _candidates(visits, data, k, payload)
-    known = first.select("vid", F.explode("neighbours").alias("found"))
-    return settle(_best(known.unionByName(more), k))
+    release(stored, *rounds, *visited, *([] if own else [queries]))
+    return last

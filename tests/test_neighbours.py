@@ -37,6 +37,55 @@ def test_nearest_equals_brute_force(spark, monkeypatch, block, per_cell):
     assert _found(neighbours.nearest(points, points, 4, ["n"])) == _brute(x, 4)
 
 
+def test_rounds_visit_fewer_cells_than_one(spark, monkeypatch):
+    """Rounds find the same neighbours over several cells and narrow what is visited."""
+    monkeypatch.setattr(neighbours, "POINTS_PER_CELL", 12)
+    monkeypatch.setattr(neighbours, "BLOCK", 30)
+    rng = np.random.default_rng(11)
+    x = np.unique(rng.normal(0, 1, (400, 3)).round(3), axis=0)
+    points, seen = _points(spark, x), []
+    route = neighbours._route
+
+    def counted(*args):
+        visits = neighbours.settle(route(*args))
+        assert visits.columns == ["vid", "cell"]
+        seen.append(visits.groupBy("vid").count().agg(F.sum("count"), F.max("count")).first())
+        return visits
+
+    monkeypatch.setattr(neighbours, "_route", counted)
+    expected = _brute(x, 6)
+    assert _found(neighbours.nearest(points, points, 6)) == expected
+    in_rounds = sum(n or 0 for n, _ in seen)
+    assert len(seen) > 2 and seen[0][1] == 1
+    seen.clear()
+    assert _found(neighbours.nearest(points, points, 6, first_step=10_000)) == expected
+    assert in_rounds < seen[0][0]
+
+
+def test_queries_apart_from_the_data(spark, monkeypatch):
+    """Queries in cells without any point, and more neighbours asked for than a cell holds."""
+    monkeypatch.setattr(neighbours, "POINTS_PER_CELL", 10)
+    rng = np.random.default_rng(12)
+    x = np.unique(rng.normal(0, 1, (120, 2)).round(2), axis=0)
+    z = np.array([[50.0, 50.0], [0.0, 0.0], [-9.0, 3.0]])
+    asks = spark.createDataFrame([(f"q{i}", list(map(float, v))) for i, v in enumerate(z)], "vid string, vec array<double>")
+    found = _found(neighbours.nearest(asks, _points(spark, x), 25))
+    for i, v in enumerate(z):
+        d = np.round(np.sqrt(((x - v) ** 2).sum(-1)), 9)
+        assert found[f"q{i}"] == [f"p{j:04d}" for j in np.argsort(d, kind="stable")[:25]]
+
+
+def test_merge_limits_rows_before_the_shuffle(spark):
+    rows = spark.range(50).selectExpr(
+        "cast(id % 2 as string) vid", "struct(double(id) as distance, cast(id as string) as vid) as found"
+    )
+    best = neighbours._best(rows, 3)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+    found = {r["vid"]: [n["distance"] for n in r["neighbours"]] for r in best.collect()}
+    assert found == {"0": [0.0, 2.0, 4.0], "1": [1.0, 3.0, 5.0]}
+
+
 def test_nearest_with_fewer_points_than_k(spark):
     x = np.array([[0.0, 0.0], [1.0, 0.0], [5.0, 5.0]])
     points = _points(spark, x)
