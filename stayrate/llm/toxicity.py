@@ -64,6 +64,26 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30.0, 30.0)))
 
 
+def risk_slopes(z: np.ndarray, n: int, prior: float) -> np.ndarray:
+    """Slope of the non-negative risk for each score; the first ``n`` are positives.
+
+    The risk is the prior times the positives' loss as toxic, plus what the
+    unlabelled lose as clean beyond the prior times what positives lose as clean.
+    Where that excess is negative its slope is followed back up instead.
+    """
+    toxic = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    m = len(z) - n
+    clean = np.logaddexp(0, z)
+    slope = np.empty(len(z))
+    if clean[n:].mean() >= prior * clean[:n].mean():
+        slope[:n] = -prior / n
+        slope[n:] = toxic[n:] / m
+    else:
+        slope[:n] = prior * toxic[:n] / n
+        slope[n:] = -toxic[n:] / m
+    return slope
+
+
 def fit(
     positive: list[tuple[np.ndarray, np.ndarray]],
     unlabelled: list[tuple[np.ndarray, np.ndarray]],
@@ -110,16 +130,7 @@ def fit(
             owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
             bias = start - rate * bias_slope / np.sqrt(bias_square)
             z = bias + np.bincount(owner, weight(places) * values, len(rows))
-            toxic = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            n, m = len(some_p), len(some_u)
-            clean = np.logaddexp(0, z)
-            slope = np.empty(len(rows))
-            if clean[n:].mean() >= prior * clean[:n].mean():
-                slope[:n] = -prior / n
-                slope[n:] = toxic[n:] / m
-            else:
-                slope[:n] = prior * toxic[:n] / n
-                slope[n:] = -toxic[n:] / m
+            slope = risk_slopes(z, len(some_p), prior)
             gradient = np.bincount(places, slope[owner] * values, FEATURES)
             used = np.flatnonzero(gradient)
             slopes[used] += gradient[used]
@@ -203,8 +214,9 @@ def train(
     most ``sample`` of all labelled rows, taken without regard to their label.
     Both are the rows with the smallest id hash, so that reruns agree. The class
     prior is the share of 1 over all labelled training rows. Rows without label
-    or id do not count, and conflicting labels of an id count as 1. Without
-    positives every text gets the prior as its score.
+    or id do not count, and conflicting labels of an id count as 1. Of several
+    texts of an id one is taken, that with the least hash, so that the bound holds
+    for rows too. Without positives every text gets the prior as its score.
     """
     known = (
         labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
@@ -222,8 +234,10 @@ def train(
     chosen = positive.select("id", F.lit(1).alias("toxic")).unionAll(
         unlabelled.select("id", F.lit(0).alias("toxic"))
     )
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    texts = texts.join(F.broadcast(settle(chosen)), "id").select("toxic", "text")
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    texts = texts.join(F.broadcast(settle(chosen)), "id").groupBy("id", "toxic")
+    texts = texts.agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("toxic", "text")
     rows = settle(texts.mapInArrow(_extract, "toxic int, places binary, counts binary"))
     sides: dict[int, list] = {0: [], 1: []}
     ordered = rows.orderBy("toxic", F.xxhash64("places"))

@@ -371,6 +371,35 @@ def test_toxicity_held_out(spark, medium):
     assert guess[truth == 0].mean() < 0.01
 
 
+def test_toxicity_slopes_are_those_of_the_risk():
+    draw, step = np.random.default_rng(3), 1e-6
+
+    def parts(z, n, prior):
+        excess = np.logaddexp(0, z[n:]).mean() - prior * np.logaddexp(0, z[:n]).mean()
+        return prior * np.logaddexp(0, -z[:n]).mean(), excess
+
+    signs = set()
+    for _ in range(20):
+        n, prior, z = 7, draw.uniform(0.1, 0.9), draw.normal(0, 2, 25)
+        z[n:] -= draw.choice([0, 6])
+        signs.add(parts(z, n, prior)[1] >= 0)
+        slope = []
+        for i in range(len(z)):
+            up, down = z + step * (np.arange(25) == i), z - step * (np.arange(25) == i)
+            rise = [(a - b) / (2 * step) for a, b in zip(parts(up, n, prior), parts(down, n, prior))]
+            slope.append(sum(rise) if parts(z, n, prior)[1] >= 0 else -rise[1])
+        assert np.allclose(toxicity.risk_slopes(z, n, prior), slope, atol=1e-6)
+    assert signs == {True, False}
+
+
+def test_toxicity_takes_one_text_per_id(spark, documents):
+    rows = [(i, f"word{i} is {'stupid trash' if i < 40 else 'lovely weather'}") for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(120)], "doc_id long, toxic int")
+    once = toxicity.train(documents(rows), labels)
+    again = toxicity.train(documents(rows + rows[:1] * 300 + rows[50:60] * 5), labels)
+    assert once.bias == again.bias and (once.weights == again.weights).all()
+
+
 def test_toxicity_odd_rows(spark, documents):
     bad = [(i, f"word{i} is stupid trash") for i in range(40)]
     rows = bad + [(i, f"word{i} is lovely weather") for i in range(40, 200)] + ODD
