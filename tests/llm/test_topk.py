@@ -3,7 +3,9 @@ import math
 import numpy as np
 from pyspark.sql import types as T
 
-from stayrate.llm.topk import exact_top_k
+from pyspark.sql import functions as F
+
+from stayrate.llm.topk import BLOCK, _blocks, exact_top_k, open_vectors, scaled_vectors
 
 VECTORS = T.StructType(
     [
@@ -53,3 +55,31 @@ def test_nothing(spark):
     assert _found(spark, []) == []
     assert _found(spark, [(1, [1.0])]) == []
     assert _found(spark, [(100, [1.0])]) == []
+
+
+def test_copies_over_many_blocks(spark):
+    rows = [(i, [0.5, -0.25, 1.0]) for i in range(300)]
+    rows += [(1000 + i, [float(i % 7), 0.5, -1.0]) for i in range(200)]
+    assert _found(spark, rows, k=4, every=50) == _brute(rows, 4, 50)
+
+
+def test_few_exact_vectors_are_read(spark):
+    draw = np.random.default_rng(8)
+    centre = draw.normal(size=(20, 32))
+    rows = [(i, (centre[i % 20] + 0.1 * draw.normal(size=32)).tolist()) for i in range(4000)]
+    usable = scaled_vectors(
+        spark.createDataFrame([(i, v, "x", "y") for i, v in rows], VECTORS).repartition(4),
+        "vec_id",
+        "embedding",
+    )
+    placed = usable.withColumn("place", F.col("vec_id"))
+    blocks = placed.mapInArrow(_blocks(6), BLOCK)
+    asked = placed.where("vec_id % 1000 = 0").collect()
+    wanted, least, _ = open_vectors(blocks, asked, 10)
+    read = {i for row in wanted.collect() for i in row.ids}
+    assert len(least) == len(asked) == 4
+    # The four queries are of one cluster of 200: nothing outside it is read.
+    assert len(read) <= 200
+    found = _found(spark, rows, k=10, every=1000)
+    assert found == _brute(rows, 10, 1000)
+    assert {row[2] for row in found} <= read
