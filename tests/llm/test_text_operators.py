@@ -359,7 +359,6 @@ def test_line_dedup(documents):
     assert line_dedup.line_counts(documents([])).count() == 0
 
 
-@pytest.mark.xfail(reason="0.967 measured on sf0.1 for the order of scores; a known shortfall")
 def test_toxicity_held_out(spark, medium):
     held = QUERIES["op7_toxicity"].spark(spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -392,6 +391,18 @@ def test_toxicity_slopes_are_those_of_the_risk():
     assert signs == {True, False}
 
 
+def test_toxicity_small_fits():
+    def rows(n, at):
+        return [(np.array([at, 50 + i], np.int32), np.ones(2, np.uint8)) for i in range(n)]
+
+    for n in (0, 1, 4, 5, 30):
+        scorer = toxicity.fit(rows(n, 1), rows(n, 1) + rows(n, 2), 0.5)
+        assert np.isfinite(scorer.bias) and np.isfinite(scorer.weights).all()
+    assert scorer.weights[1] > 0 > scorer.weights[2]
+    copies = rows(1, 1) * 20
+    assert np.isfinite(toxicity.fit(copies, copies, 0.5).bias)
+
+
 def test_toxicity_takes_one_text_per_id(spark, documents):
     rows = [(i, f"word{i} is {'stupid trash' if i < 40 else 'lovely weather'}") for i in range(120)]
     labels = spark.createDataFrame([(i, int(i < 40)) for i in range(120)], "doc_id long, toxic int")
