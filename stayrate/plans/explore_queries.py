@@ -62,6 +62,13 @@ def _add_stamps(df):
     )
 
 
+def _flawed(spark, sf_dir):
+    """Accounts with every kind of issue: a column absent, nulls, a wrong type, odd values."""
+    df = cleaning.coerce_total(load_accounts(spark, sf_dir)).drop("PaymentMethod")
+    known = F.when(F.col("Contract") != "One year", F.col("SeniorCitizen"))
+    return df.withColumns({"SeniorCitizen": known, "MultipleLines": F.col("InternetService")})
+
+
 _YES = "CASE WHEN Churn = 'Yes' THEN 1 ELSE 0 END"
 _RATE = f"avg({_YES}) * 100"
 _BAND = (
@@ -327,6 +334,24 @@ QUERIES: dict[str, Query] = {
                 InternetService AS detail, count(*) AS n FROM cleaned
             WHERE InternetService <> 'No' GROUP BY InternetService""",
     ),
+    "quality_report": Query(
+        lambda s, d: quality.quality_report(_flawed(s, d)),
+        f"""{ACCOUNTS}, whole AS (SELECT count(*) AS n FROM accounts)
+            SELECT 'missing_columns' AS category, 'PaymentMethod' AS "column",
+                   'absent' AS detail, n FROM whole WHERE n > 0
+            UNION ALL SELECT * FROM (
+                SELECT 'missing_values', 'SeniorCitizen', 'null',
+                       count(*) FILTER (Contract = 'One year') AS n FROM accounts
+                UNION ALL SELECT 'missing_values', 'TotalCharges', 'null',
+                       count(*) FILTER (TRY_CAST(trim(TotalCharges) AS DOUBLE) IS NULL)
+                FROM accounts
+                UNION ALL SELECT 'value_issues', 'SeniorCitizen', 'not ''0'' or ''1''',
+                       count(*) FILTER (Contract = 'One year') FROM accounts) WHERE n > 0
+            UNION ALL SELECT 'data_type_issues', 'SeniorCitizen',
+                   'should be categorical, is int', n FROM whole WHERE n > 0
+            UNION ALL SELECT 'value_issues', 'MultipleLines', InternetService, count(*)
+            FROM accounts WHERE InternetService <> 'No' GROUP BY InternetService""",
+    ),
     "valid_rows": Query(
         lambda s, d: quality.valid_rows(_text_rows(s, d)),
         f"""{ACCOUNTS} SELECT * REPLACE (
