@@ -246,8 +246,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 *(batch.column(n) for n in ("id", "uri", "payload")),
                 pa.array([len(p) for p in payloads], pa.int64()),
                 pa.array([payload_digest(p) for p in payloads], pa.string()),
+                pa.array([hashlib.sha256(p).digest() for p in payloads], pa.binary()),
             ],
-            names=["id", "uri", "payload", "bytes", "digest"],
+            names=["id", "uri", "payload", "bytes", "digest", "content"],
         )
 
 
@@ -258,8 +259,9 @@ def planned_records(
 
     Payloads of revisits are left out.
 
-    The row that stays of a group of equal payloads is found from digests, ids
-    and row numbers alone; a group's payloads never meet in one task.
+    The row that stays of a group of equal payloads is found from hashes, ids
+    and row numbers alone; a group's payloads never meet in one task. Payloads are
+    equal by length and SHA-256: SHA-1, which the records carry, has known collisions.
     """
     kind = type_of(pages, id_col)
     rows = settle(
@@ -269,22 +271,23 @@ def planned_records(
             F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"),
         )
         .mapInArrow(
-            _digests, f"id {kind}, uri string, payload binary, bytes long, digest string"
+            _digests,
+            f"id {kind}, uri string, payload binary, bytes long, digest string, content binary",
         )
         .withColumn("row", F.monotonically_increasing_id())
     )
     # Nulls come before all ids; of rows with one id the first stays.
     best = F.max(F.struct(F.col("id"), (-F.col("row")).alias("back"))).alias("best")
-    groups = rows.where(F.col("bytes") >= revisit_bytes).groupBy("digest", "bytes").agg(best)
+    groups = rows.where(F.col("bytes") >= revisit_bytes).groupBy("content", "bytes").agg(best)
     facts = groups.select(
-        "digest",
+        "content",
         "bytes",
         F.col("best.id").alias("first_id"),
         (-F.col("best.back")).alias("first_row"),
     )
     revisits = (
-        rows.select("row", "digest", "bytes")
-        .join(facts, ["digest", "bytes"])
+        rows.select("row", "content", "bytes")
+        .join(facts, ["content", "bytes"])
         .where("row != first_row")
         .select("row", F.col("first_id").alias("refers_to"), F.lit("revisit").alias("kind"))
     )

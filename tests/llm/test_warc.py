@@ -71,3 +71,17 @@ def test_round_trip(spark, least):
 
 def test_no_pages(spark):
     assert warc.archive_round_trip(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_groups_are_of_equal_content(spark):
+    rows = [(1, "u", "same", "x", "y"), (2, "u", "same", "x", "y"), (3, "u", None, "x", "y")]
+    pages = spark.createDataFrame(rows, PAGES)
+    planned, written = warc.planned_records(pages, "page_id", "url", "html", 0)
+    found = {r.id: bytes(r.content) for r in written.collect()}
+    assert found == {i: hashlib.sha256((t or "").encode()).digest() for i, _, t, *_ in rows}
+    kinds = {r.id: (r.kind, r.refers_to, r.payload) for r in planned.collect()}
+    assert kinds == {
+        1: ("revisit", 2, None),
+        2: ("response", None, b"same"),
+        3: ("response", None, b""),
+    }
