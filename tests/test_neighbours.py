@@ -62,6 +62,38 @@ def test_rounds_visit_fewer_cells_than_one(spark, monkeypatch):
     assert in_rounds < seen[0][0]
 
 
+def test_rows_of_queries_are_never_broadcast(spark, monkeypatch):
+    """Joins by point stay apart from the driver, however small the files look."""
+    monkeypatch.setattr(neighbours, "POINTS_PER_CELL", 12)
+    x = np.unique(np.random.default_rng(5).normal(0, 1, (200, 3)).round(3), axis=0)
+    settle, plans = neighbours.settle, []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settle(df)
+
+    monkeypatch.setattr(neighbours, "settle", seen)
+    points = _points(spark, x)
+    assert _found(neighbours.nearest(points, points, 4)) == _brute(x, 4)
+    assert any("SortMergeJoin [vid" in plan for plan in plans)
+    assert not any("BroadcastHashJoin [vid" in plan for plan in plans)
+
+
+def test_a_block_is_compared_in_bounded_pieces(spark, monkeypatch):
+    """Equal distances, as value differences give them, are held in pieces as well."""
+    distances, most = neighbours._distances, 2_000
+
+    def bounded(a, b):
+        assert len(a) * len(b) <= most
+        return distances(a, b)
+
+    monkeypatch.setattr(neighbours, "_WORKSPACE", most)
+    monkeypatch.setattr(neighbours, "_distances", bounded)
+    x = np.unique(np.random.default_rng(6).integers(0, 8, (400, 3)), axis=0).astype(float)
+    points = _points(spark, x)
+    assert _found(neighbours.nearest(points, points, 5, ["n"])) == _brute(x, 5)
+
+
 def test_queries_apart_from_the_data(spark, monkeypatch):
     """Queries in cells without any point, and more neighbours asked for than a cell holds."""
     monkeypatch.setattr(neighbours, "POINTS_PER_CELL", 10)
