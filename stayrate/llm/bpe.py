@@ -3,7 +3,8 @@
 A pre-token that the vocabulary holds whole is resolved by a minimal perfect
 hash over the vocabulary. Any other is split into bytes in a linked list, whose
 pairs wait in a heap by rank; the lowest rank, leftmost first, is merged until
-no pair is in the vocabulary.
+no pair is in the vocabulary. Which ids join to which id is looked up once per
+worker, and a worker keeps the pre-tokens it has met from task to task.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterator
-from heapq import heapify, heappop, heappush
+from functools import cached_property
+from heapq import heapify, heappop, heappush, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,14 @@ MIX = 0x9E3779B97F4A7C15
 SCATTER = 0xD6E8FEB86659FD93
 MASK = (1 << 64) - 1
 PRIME = (1 << 61) - 1
-#: Pre-tokens, and pieces inside them, that a task remembers before it starts over.
-REMEMBERED = 400_000
-#: Longest pieces remembered, in bytes; longer ones seldom come again.
-SHORT = 4
+#: Pre-tokens in either generation of those that a worker remembers.
+REMEMBERED = 250_000
+#: Longest pre-tokens remembered, in characters; longer ones seldom come again.
+LONGEST = 64
+#: Bits of a place in a heap entry.
+HALF = 32
+#: What an id that no other can follow is joined with.
+NOTHING: dict[int, int] = {}
 ROWS_PER_BATCH = 256
 
 
@@ -107,8 +113,28 @@ class Codec:
         self.keys = [keys[i] for i in self.hash.order]
         self.ranks = [ranks[k] for k in self.keys]
         self.longest = max(map(len, keys))
-
-        self.found = _Ranks(self)
+        #: Ids of the single bytes.
+        self.single = [ranks[bytes([b])] for b in range(256)]
+        whole = repr((pattern, self.keys, self.ranks)).encode()
+        self.digest = hashlib.sha256(whole).hexdigest()
+
+    @cached_property
+    def joined(self) -> dict[int, dict[int, int]]:
+        """By two ids, that of their joined bytes, for all pairs that the vocabulary joins."""
+        found: dict[int, dict[int, int]] = {rank: {} for rank in self.ranks}
+        for key, rank in zip(self.keys, self.ranks):
+            for cut in range(1, len(key)):
+                left = self.rank(key[:cut])
+                right = None if left is None else self.rank(key[cut:])
+                if right is not None:
+                    found[left][right] = rank
+        return {left: rights or NOTHING for left, rights in found.items()}
+
+    @cached_property
+    def first(self) -> dict[tuple[int, int], int]:
+        """Id of two bytes, for those that the vocabulary joins."""
+        pairs = ((k, r) for k, r in zip(self.keys, self.ranks) if len(k) == 2)
+        return {(key[0], key[1]): rank for key, rank in pairs}
 
     def rank(self, piece: bytes) -> int | None:
         if len(piece) > self.longest:
@@ -122,40 +148,44 @@ class Codec:
         return [whole] if whole is not None else self._merge(piece)
 
     def _merge(self, piece: bytes) -> list[int]:
-        n, found = len(piece), self.found
-        own = [found[piece[i : i + 1]] for i in range(n)]
+        n, joined = len(piece), self.joined
+        own = list(map(self.single.__getitem__, piece))
+        # Id of each part joined with the next one, if there is such an id.
+        pairs = list(map(self.first.get, zip(piece, piece[1:])))
+        # A heap entry is the id and the place of a pair in one number.
+        heap = [rank << HALF | i for i, rank in enumerate(pairs) if rank is not None]
+        if not heap:
+            return own
+        heapify(heap)
+        pairs.append(None)
         end = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        # A heap entry is rank, start and stop of a pair in one number.
-        heap = []
-        for i in range(n - 1):
-            rank = found[piece[i : i + 2]]
-            if rank is not None:
-                heap.append(rank << 64 | i << 32 | i + 2)
-        heapify(heap)
         while heap:
-            entry = heappop(heap)
-            i, stop = entry >> 32 & 0xFFFFFFFF, entry & 0xFFFFFFFF
-            middle = end[i]
-            # Stale: the left part is gone, or either part has grown since.
-            if middle == 0 or middle == n or end[middle] != stop:
+            entry = heap[0]
+            i, rank = entry & 0xFFFFFFFF, entry >> HALF
+            # Stale: the left part is gone, or either has grown, whose bytes have another id.
+            if pairs[i] != rank:
+                heappop(heap)
                 continue
-            own[i], end[i], end[middle] = entry >> 64, stop, 0
+            middle = end[i]
+            stop = end[middle]
+            own[i], end[i] = rank, stop
+            own[middle] = pairs[middle] = None
             if stop < n:
                 before[stop] = i
-                rank = found[piece[i : end[stop]]]
-                if rank is not None:
-                    heappush(heap, rank << 64 | i << 32 | end[stop])
+                pairs[i] = wider = joined[rank].get(own[stop])
+            else:
+                pairs[i] = wider = None
+            if wider is None:
+                heappop(heap)
+            else:
+                heapreplace(heap, wider << HALF | i)
             left = before[i]
             if left >= 0:
-                rank = found[piece[left:stop]]
-                if rank is not None:
-                    heappush(heap, rank << 64 | left << 32 | stop)
-        ids, i = [], 0
-        while i < n:
-            ids.append(own[i])
-            i = end[i]
-        return ids
+                pairs[left] = wider = joined[own[left]].get(rank)
+                if wider is not None:
+                    heappush(heap, wider << HALF | left)
+        return [found for found in own if found is not None]
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
@@ -168,39 +198,61 @@ class Codec:
         return b"".join(known[i] for i in ids)
 
 
-class _Ranks(dict):
-    """Ranks of short pieces looked up before; None for what is not in the vocabulary."""
+class _Bytes:
+    """Bytes of all ids on end, to decode a whole array of ids at once."""
 
     def __init__(self, codec: Codec) -> None:
-        self.codec = codec
-
-    def __missing__(self, piece: bytes) -> int | None:
-        found = self.codec.rank(piece)
-        if len(piece) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = found
-        return found
-
-    def __reduce__(self):
-        return _Ranks, (self.codec,)
+        self.held = np.frombuffer(b"".join(codec.keys), np.uint8)
+        sizes = np.array(list(map(len, codec.keys)))
+        self.sizes = np.zeros(max(codec.ranks) + 1, np.int64)
+        self.sizes[codec.ranks] = sizes
+        self.starts = np.zeros_like(self.sizes)
+        self.starts[codec.ranks] = np.cumsum(sizes) - sizes
+
+    def of(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        # Distance from a byte's place in the text to its place among those held.
+        ahead = self.starts[ids] - np.cumsum(sizes) + sizes
+        places = np.repeat(ahead, sizes)
+        places += np.arange(len(places))
+        return self.held[places].tobytes()
 
 
 class _Remembered(dict):
-    """Ids of pre-tokens as texts, by pre-token."""
+    """Ids of pre-tokens as texts, by pre-token, in two generations.
+
+    When the younger is full it takes the place of the older, from which what
+    comes again is taken over.
+    """
 
     def __init__(self, codec: Codec) -> None:
         self.codec = codec
+        self.older: dict[str, str] = {}
 
     def __missing__(self, found: str) -> str:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = " ".join(map(str, self.codec.piece(found.encode())))
-        if len(found) <= 64:
+        ids = self.older.get(found)
+        if ids is None:
+            ids = " ".join(map(str, self.codec.piece(found.encode())))
+        if len(found) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
             self[found] = ids
         return ids
 
 
+#: What a worker process remembers of the codec it used last, by the codec's digest.
+_KEPT: dict[str, _Remembered] = {}
+
+
+def _remembered(codec: Codec) -> _Remembered:
+    """Pre-tokens that this process has met; tasks of one worker share them."""
+    if codec.digest not in _KEPT:
+        _KEPT.clear()
+        _KEPT[codec.digest] = _Remembered(codec)
+    return _KEPT[codec.digest]
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a file with lines of base64 bytes and rank."""
     with open(path, "rb") as lines:
@@ -220,15 +272,19 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(start, ROWS_PER_BATCH)
 
 
+def _numbers(joined: str) -> np.ndarray:
+    return np.fromstring(joined, np.int32, sep=" ") if joined else np.empty(0, np.int32)
+
+
 def _encoder(codec: Codec) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = regex.compile(codec.pattern).findall
-        remembered = _Remembered(codec)
+        remembered = _remembered(codec)
         for batch in _parts(batches):
             ids = []
             for text in _texts(batch.column("text")):
                 joined = " ".join(map(remembered.__getitem__, pieces(text)))
-                ids.append(np.array(joined.split(), np.int32) if joined else [])
+                ids.append(_numbers(joined))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"]
             )
@@ -252,19 +308,18 @@ def _decoder(known: dict[int, bytes]) -> Callable:
 def _round_trip(codec: Codec, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = regex.compile(codec.pattern).findall
-        remembered = _Remembered(codec)
-        known = {str(r): k for r, k in zip(codec.ranks, codec.keys)}
+        remembered = _remembered(codec)
+        known = _Bytes(codec)
         for batch in _parts(batches):
             counts, encoded, decoded, arrays = [], [], [], []
             for text in _texts(batch.column("text")):
                 joined = " ".join(map(remembered.__getitem__, pieces(text)))
-                ids = joined.split()
+                ids = _numbers(joined)
                 counts.append(len(ids))
                 if with_ids:
-                    arrays.append(np.array(ids, np.int32))
+                    arrays.append(ids)
                 encoded.append(hashlib.sha256(joined.encode()).hexdigest())
-                back = b"".join(map(known.__getitem__, ids))
-                decoded.append(hashlib.sha256(back).hexdigest())
+                decoded.append(hashlib.sha256(known.of(ids)).hexdigest())
             out = {
                 "id": batch.column("id"),
                 "n_tokens": pa.array(counts, pa.int64()),

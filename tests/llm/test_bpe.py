@@ -1,5 +1,7 @@
 import hashlib
+import pickle
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,3 +61,31 @@ def test_documents(documents, codec, library):
         assert row.decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
         assert decoded[doc_id] == (text or "").encode()
     assert bpe.round_trip(documents([]), codec).count() == 0
+
+
+def test_tasks_of_a_worker_share_what_they_remember(codec, library, monkeypatch):
+    """A later task of the same process looks up new pre-tokens only, also after the memory
+    was full, and the ids stay those of the library."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    bpe._KEPT.clear()
+    looked_up = []
+    piece = bpe.Codec.piece
+    monkeypatch.setattr(
+        bpe.Codec, "piece", lambda own, found: looked_up.append(found) or piece(own, found)
+    )
+
+    def task(text):
+        sent = pickle.loads(pickle.dumps(codec))
+        batch = pa.RecordBatch.from_pydict({"id": [1], "text": [text.encode()]})
+        (out,) = bpe._encoder(sent)(iter([batch]))
+        assert out.column("ids")[0].as_py() == library.encode_ordinary(text)
+
+    task(" ".join(f"blonde{i}x" for i in range(20)))
+    first = len(looked_up)
+    task(" ".join(f"blonde{i}x" for i in range(20)))
+    assert first and len(looked_up) == first
+    task(" ".join(f"qu{'z' * i}v" for i in range(200)))
+    assert len(bpe._KEPT) == 1
+    (kept,) = bpe._KEPT.values()
+    assert len(kept) <= 50 and len(kept.older) <= 50
+    bpe._KEPT.clear()
