@@ -454,7 +454,7 @@ def test_pipeline_stages(spark, small):
 @pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql])
 def test_query_equals_sql(spark, small, name):
     database = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "labels"):
+    for t in ("documents", "pages", "embeddings", "labels", "conversations"):
         database.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
     found = QUERIES[name].spark(spark, small).toPandas()
     wanted = database.execute(QUERIES[name].oracle()).fetchdf()
