@@ -291,6 +291,45 @@ def test_middles_have_the_distance_of_the_texts(spark):
     assert ends.select(F.length(line_dedup.middles("x", "y")["x"])).first()[0] < 20
 
 
+def test_alike_is_the_edit_distance(spark):
+    draw = random.Random(8)
+    rows = [("a", "a"), ("a", "b"), ("a b", "b"), ("a b", "a b a b"), ("ab cd ef", "ab ef cd")]
+    for _ in range(300):
+        x = draw.choices(["a", "bc", "def", "ghij"], k=draw.randrange(1, 20))
+        y = list(x)
+        for _ in range(draw.randrange(4)):
+            at = draw.randrange(len(y))
+            y[at : at + draw.randrange(2)] = draw.choice((["bc"], ["defx"], ["a", "bc"]))
+        rows.append((" ".join(x), " ".join(y)))
+    df = spark.createDataFrame(rows, "x string, y string").withColumn("most", F.floor(F.length("x") / 5).cast("int"))
+    alike = line_dedup._alike(F.col("x"), F.col("y"), F.col("most"))
+    found = df.select(alike.alias("found"), (F.levenshtein("x", "y") <= F.col("most")).alias("wanted")).collect()
+    assert all(r.found == r.wanted for r in found) and {r.found for r in found} == {True, False}
+
+
+def test_a_group_of_near_lines_is_not_compared_in_all_pairs(spark, documents, monkeypatch):
+    draw = random.Random(9)
+    base = [f"w{draw.randrange(10**5):05}" for _ in range(60)]
+    lines = []
+    for _ in range(800):
+        line = list(base)
+        for at in draw.sample(range(60), draw.randrange(2, 6)):
+            line[at] = f"v{draw.randrange(10**5):05}"
+        lines.append(" ".join(line))
+    compared = []
+    confirmed = line_dedup._confirmed
+
+    def counted(pairs, *more):
+        compared.append(pairs.count())
+        return confirmed(pairs, *more)
+
+    monkeypatch.setattr(line_dedup, "_confirmed", counted)
+    found = {r.doc_id for r in line_dedup.line_counts(documents(enumerate(lines))).collect() if r.n_removed}
+    assert found == set(range(1, 800))
+    # What the first comparison leaves apart needs a few pairs, not those with every line.
+    assert sum(compared[1:]) < 150, compared
+
+
 def test_line_dedup_columns_that_clash(spark):
     line = "one two three four five six"
     rows = [(1, f"{line}\nrest"), (2, line), (3, None)]
