@@ -94,6 +94,57 @@ def test_a_block_is_compared_in_bounded_pieces(spark, monkeypatch):
     assert _found(neighbours.nearest(points, points, 5, ["n"])) == _brute(x, 5)
 
 
+def _all_compared(a, b, same, k):
+    """Row, column and distance of the nearest, from the differences of all pairs."""
+    d = np.round(neighbours._distances(a, b), 9)
+    d[same] = np.inf
+    found = [(i, j, d[i, j]) for i in range(len(a)) for j in np.argsort(d[i], kind="stable")[:k]]
+    return [x for x in found if np.isfinite(x[2])]
+
+
+@pytest.mark.parametrize("size, shift, places", [(1, 0, 9), (3, 0, 0), (1, 1e7, 9), (1e-8, 0, 20), (1e120, 0, 0)])
+def test_products_leave_the_exact_nearest(size, shift, places):
+    """Ties, far from the origin, tiny and huge values; distances are those of differences."""
+    rng = np.random.default_rng(8)
+    a, b = (np.round(rng.normal(size=(n, 7)) * size, places) + shift for n in (40, 90))
+    same = rng.random((40, 90)) < 0.1
+    rows, columns, d = neighbours._closest(a, b, same, 6)
+    assert list(zip(rows, columns, d)) == _all_compared(a, b, same, 6)
+
+
+def test_few_pairs_are_compared_by_differences(monkeypatch):
+    """Products of matrices rule out almost all pairs of a block."""
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(100, 30)), rng.normal(size=(400, 30))
+    none = np.zeros((100, 400), dtype=bool)
+    expected = _all_compared(a, b, none, 5)
+
+    def refused(*args):
+        raise AssertionError("all pairs were compared by differences")
+
+    monkeypatch.setattr(neighbours, "_distances", refused)
+    assert list(zip(*neighbours._closest(a, b, none, 5))) == expected
+
+
+def test_blocks_give_ids_and_distances_alone(spark, monkeypatch):
+    """Vectors and other columns of the neighbours are looked up once, for those that are left."""
+    monkeypatch.setattr(neighbours, "POINTS_PER_CELL", 30)
+    x = np.unique(np.random.default_rng(10).normal(0, 1, (120, 3)).round(2), axis=0)
+    candidates, given = neighbours._candidates, []
+
+    def seen(*args):
+        given.append(candidates(*args))
+        return given[-1]
+
+    monkeypatch.setattr(neighbours, "_candidates", seen)
+    found = neighbours.nearest(_points(spark, x), _points(spark, x), 3, ["n"]).collect()
+    assert all(df.schema["found"].dataType.names == ["distance", "vid"] for df in given)
+    for row in found:
+        for n in row["neighbours"]:
+            at = int(n["vid"][1:])
+            assert n["vec"] == list(x[at]) and n["n"] is not None
+
+
 def test_queries_apart_from_the_data(spark, monkeypatch):
     """Queries in cells without any point, and more neighbours asked for than a cell holds."""
     monkeypatch.setattr(neighbours, "POINTS_PER_CELL", 10)
